@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, mixing, packing, quality, tokencount, warc
+from tessera.llm import decontam, fingerprint, mixing, ngramjoin, packing, quality, secrets, tokencount, warc
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprint": fingerprint.op1_query,
+        "op2_secrets": secrets.op2_query,
         "op3_token_counts": tokencount.op3_query,
         "op4_warc": warc.op4_query,
         "op5_pack": packing.op5_query,
         "op6_decontaminate": decontam.op6_query,
+        "op7_ngram_join": ngramjoin.op7_query,
         "op9_quality": quality.op9_query,
         "op10_mix": mixing.op10_query,
     }
