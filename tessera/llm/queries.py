@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, fingerprint, mixing, ngramjoin, packing, quality, secrets, tokencount, warc
+from tessera.llm import decontam, fingerprint, mixing, ngramjoin, packing, quality, secrets, substrings, tokencount, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_pack": packing.op5_query,
         "op6_decontaminate": decontam.op6_query,
         "op7_ngram_join": ngramjoin.op7_query,
+        "op8_passages": substrings.op8_query,
         "op9_quality": quality.op9_query,
         "op10_mix": mixing.op10_query,
     }
