@@ -9,6 +9,7 @@ order of time.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
-#: Payload bytes in one archive, about, and captures in one merged range, about.
+#: Payload bytes in one archive before compression, about, and captures in one merged range, about.
 ARCHIVE_BYTES, RANGE_CAPTURES = 16 << 20, 50_000
 
 CAPTURES = (
@@ -96,7 +97,7 @@ def record_text(url: Column, when: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, dedup_from: int = 0) -> None:
-    """Writes ``pages`` as WARC archives, through Spark's own file commit.
+    """Writes ``pages`` as gzipped WARC archives, through Spark's own file commit.
 
     Null payloads are empty and null urls blank. Without ``time_col`` the id counts as seconds. Rows that
     share an id and a payload are written alike; extra columns are not written. An empty table leaves an
@@ -106,10 +107,12 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     facts = with_originals(pages, id_col, base32_sha1(payload), F.octet_length(payload).cast("long"), dedup_from).distinct()
     when = F.date_trunc("second", F.col(time_col)) if time_col else F.timestamp_seconds(F.coalesce(F.col(id_col), F.lit(0)).cast("long"))
     full = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"), when.alias("_when"), url_key(F.col(url_col)).alias("_key"))
-    total = pages.agg(F.sum(F.octet_length(payload) + 600)).first()[0] or 0
+    size, n = pages.agg(F.sum(F.octet_length(payload) + 600), F.count(F.lit(1))).first()
     made = full.withColumn("_digest", base32_sha1(F.col("_payload"))).join(facts, F.col("_id").eqNullSafe(F.col("page_id")) & (F.col("_digest") == F.col("payload_digest")))
-    made = made.repartition(max(1, -(-total // ARCHIVE_BYTES)), F.xxhash64("_id", "_url")).sortWithinPartitions("_key", "_when", "_id")
-    made.select(record_text(F.col("_url"), F.col("_when")).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    # the join has dealt the pages by id already; each of its tasks sorts what it has and starts a new archive at need
+    made = made.sortWithinPartitions("_key", "_when", "_id")
+    most = max(1, ARCHIVE_BYTES * n // size) if n else 1
+    made.select(record_text(F.col("_url"), F.col("_when")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -133,7 +136,7 @@ def _captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"], strict=True):
             rows = []
-            for head, block, at, size in records(data):
+            for head, block, at, size in records(gzip.decompress(data)):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 stated = head["warc-payload-digest"].removeprefix("sha1:")
                 revisit = head["warc-type"] == "revisit"
@@ -148,7 +151,7 @@ def _captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """One row per record; an archive is one run, its ``offset`` the place in it. Lengths and digests are checked."""
+    """One row per record; an archive is one run, ``offset`` and ``length`` a place in its unpacked bytes. Lengths and digests are checked."""
     # one archive a task and batch: bounded by ARCHIVE_BYTES and the longest record
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     schema = ", ".join(x for x in CAPTURES.split(", ") if not x.startswith("urlkey"))
