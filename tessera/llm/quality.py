@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     key = F.xxhash64(F.lit(9), F.col("_id"))
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .join(known, "_id")
+        .join(known.hint("merge"), "_id")  # labels grow with the documents, so they are not broadcast
         .select("_text", "_label", key.alias("_key"), (F.pmod(key, F.lit(1_000_000)) < int(share * 1_000_000)).alias("_sampled"))
     )
     stats = Scratch(spark, "quality").table(rows.mapInPandas(_gather("_text", "_label"), _STATS), "stats")
