@@ -12,9 +12,10 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "shard string, row int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<long>, pieces array<int>, n_tokens int"
 
@@ -82,43 +83,59 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> list[list[int]]:
     return rows
 
 
-def pack_shard(shard: str, pieces: list[tuple[int | None, int, np.ndarray]], size: int, pad: int) -> pd.DataFrame:
-    """pieces: document, number of the piece in it, ids."""
-    out = []
-    for number, members in enumerate(best_fit_decreasing(np.array([len(p[2]) for p in pieces]), size)):
-        used = [pieces[i] for i in members]
-        ends = np.cumsum([0] + [len(p[2]) for p in used])
-        ids, positions = np.full(size, pad, np.int32), np.zeros(size, np.int32)
-        for (_, _, x), a in zip(used, ends, strict=False):
-            ids[a : a + len(x)] = x
-            positions[a : a + len(x)] = np.arange(len(x))
-        out.append((shard, number, ids, ends.astype(np.int32), positions, [p[0] for p in used], [p[1] for p in used], int(ends[-1])))
-    return pd.DataFrame(out, columns=["shard", "row", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "pieces", "n_tokens"])
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def pack_shard(shard: str, pieces: list[tuple[int | None, int, np.ndarray]], size: int, pad: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of matrix rows. pieces: document, number of the piece in it, ids."""
+    packed = best_fit_decreasing(np.array([len(p[2]) for p in pieces]), size)
+    for first in range(0, len(packed), rows):
+        part = packed[first : first + rows]
+        ids, positions = np.full((len(part), size), pad, np.int32), np.zeros((len(part), size), np.int32)
+        bounds, used = [], []
+        for at, members in enumerate(part):
+            end = 0
+            bounds.append(0)
+            for i in members:
+                x = pieces[i][2]
+                ids[at, end : end + len(x)] = x
+                positions[at, end : end + len(x)] = np.arange(len(x))
+                end += len(x)
+                bounds.append(end)
+                used.append(pieces[i])
+        count = np.array([len(m) for m in part])
+        ends, full = np.concatenate([[0], np.cumsum(count)]), np.arange(len(part) + 1) * size
+        bounds = np.array(bounds, np.int32)
+        columns = {
+            "shard": pa.array([shard] * len(part)),
+            "row": pa.array(np.arange(first, first + len(part)), pa.int32()),
+            "input_ids": _lists(ids.ravel(), full),
+            "cu_seqlens": _lists(bounds, ends + np.arange(len(part) + 1)),
+            "position_ids": _lists(positions.ravel(), full),
+            "doc_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([p[0] for p in used], pa.int64())),
+            "pieces": _lists(np.array([p[1] for p in used], np.int32), ends),
+            "n_tokens": pa.array(bounds[np.cumsum(count + 1) - 1], pa.int32()),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def _packer(path: str, pattern: str, id_col: str, text_col: str, size: int, pad: int, shard_tokens: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, waiting = TaskContext.get().partitionId(), 0, 0, []
-        encode = encoder(path, pattern).encode_ordinary
-
-        def flush():
-            """Rows in small frames, so that the batch sent back is small as well."""
-            frame = pack_shard(f"{task}-{made}", waiting, size, pad)
-            for i in range(0, len(frame), 256):
-                yield frame[i : i + 256]
-
+        encode = encoder(path, pattern).encode_to_numpy
         for batch in batches:
-            for doc, text in zip(batch[id_col], batch[text_col], strict=True):
-                ids = np.array(encode(text), np.int32) if text else np.zeros(0, np.int32)
-                doc = None if pd.isna(doc) else int(doc)
+            for doc, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col), strict=True):
+                text = text.as_py()
+                ids = encode(text, disallowed_special=()) if text else ()
                 for k in range(0, len(ids), size):
                     waiting.append((doc, k // size, ids[k : k + size]))
                     held += min(size, len(ids) - k)
                     if held >= shard_tokens:
-                        yield from flush()
+                        yield from pack_shard(f"{task}-{made}", waiting, size, pad)
                         made, held, waiting = made + 1, 0, []
         if waiting:
-            yield from flush()
+            yield from pack_shard(f"{task}-{made}", waiting, size, pad)
 
     return run
 
@@ -143,7 +160,7 @@ def pack(
     packed as often as they stand; other columns are left out; an empty table gives no rows. Rows of a shard
     depend on how the input is split over tasks; their content as a whole does not.
     """
-    return docs.select(id_col, text_col).mapInPandas(_packer(ranks_path, pattern, id_col, text_col, size, pad, shard_tokens), PACKED)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(_packer(ranks_path, pattern, id_col, text_col, size, pad, shard_tokens), PACKED)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
