@@ -1,16 +1,20 @@
 """Operator 7: an n-gram Jaccard self-join over count vectors, as classes of linked documents.
 
-A document is the set of its distinct word shingles. Shingles are hashed into GROUPS groups, and a document's
-counts by group are its point. Two sets share at most the sum of the coordinates' minima, so a pair whose
-points fall short of the overlap that the threshold needs is dropped; the rest is verified on the sets.
+A document is the set of its distinct word shingles. Shingles are hashed into groups, about PER_GROUP of a
+document's to each, and its counts by group are its point; points of unlike length are folded to the shorter.
+Two sets share at most the sum of the coordinates' minima, so a pair whose points fall short of the overlap that
+the threshold needs is dropped; the rest is verified on the sets.
 
 Points are compared within blocks only. In one order of all shingles, common ones last, any two sets that
 reach the threshold share a shingle among their first n - ceil(threshold n) + 1; a block is the sets that
 have such a shingle in common, so no linked pair is missed. Blocks with the same members are taken once.
 First each member is held against its block's least and greatest; blocks that links so found make one class
-are done. In the others a tree over the points (an R-tree, bulk loaded, with label and least size per box)
-joins members of different classes; a block of more than CHUNK members is cut, and pairs of chunks are joined
-by different tasks. Equal sets are one node throughout.
+are done. The others are cut into overlapping bands of size, as sets too unlike in size cannot reach the threshold;
+in each a tree over the points (an R-tree, bulk loaded, with label and least size per box) joins members of
+different classes. Members that the bound lets link are then joined in the same way with their sets at hand; what
+a link has joined is not compared again, so a group yields no more links than it has members. A band of more than
+CHUNK members is cut, and pairs of chunks are joined by different tasks.
+Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -27,13 +31,14 @@ from tessera.llm.common import Scratch
 from tessera.llm.graph import components
 from tessera.llm.shingles import shingles, word_hashes
 
-GROUPS = 64
+#: Mean count of a coordinate, up to a factor of two; the least number of groups.
+PER_GROUP, LEAST_GROUPS = 4, 16
 #: Members of a block that one task holds against each other; twice as many points lie in a task's group.
 CHUNK = 2000
 #: Bits of the map of documents whose sets are fetched; a full map costs time, never results.
 MAP_BITS = 24
 #: Shingles in more than this share of the documents come last in the order. The order decides speed alone.
-COMMON = 2e-4
+COMMON = 5e-5
 
 _SETS = "doc long, n int, k1 long, k2 long, prefix array<long>, point binary"
 
@@ -47,6 +52,26 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def groups_for(n: int) -> int:
+    """A power of two, so that a point folds onto any shorter one."""
+    return max(LEAST_GROUPS, 1 << (max(n // PER_GROUP, 1) - 1).bit_length())
+
+
+def point_of(own: np.ndarray) -> bytes:
+    """Counts by group, in bytes where they fit; the first byte says how wide a count is."""
+    d = groups_for(len(own))
+    counts = np.bincount((own >> np.uint64(20)).astype(np.int64) & (d - 1), minlength=d)
+    return b"\1" + counts.astype("<u1").tobytes() if counts.max() < 256 else b"\4" + counts.astype("<u4").tobytes()
+
+
+def coordinates(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, f"<u{point[0]}", offset=1)
+
+
+def folded(point: np.ndarray, d: int) -> np.ndarray:
+    return point.reshape(-1, d).sum(0, dtype=np.int64)
+
+
 def _sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return [np.unique(shingles(w, k)) for w in word_hashes(texts)]
 
@@ -85,8 +110,7 @@ def _describe(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
                     last = np.where(common[at] == own, rank[at] + 1, 0)
                 first = own[np.lexsort((own, last))[: prefix_size(len(own), percent)]]
                 d = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-                point = np.bincount((own >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4")
-                rows.append((doc, len(own), d[0], d[1], first.astype(np.int64), point.tobytes()))
+                rows.append((doc, len(own), d[0], d[1], first.astype(np.int64), point_of(own)))
             yield pd.DataFrame(rows, columns=["doc", "n", "k1", "k2", "prefix", "point"]).astype({"doc": "Int64"})
 
     return run
@@ -97,10 +121,12 @@ def _bounded(percent: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                p, q = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, GROUPS) for c in ("point_a", "point_b"))
-                most = np.minimum(p, q).sum(1, dtype=np.int64)
-                yield batch.loc[most >= needed(batch["n_a"].to_numpy(np.int64) + batch["n_b"].to_numpy(np.int64), percent), ["a", "b"]]
+            keep = []
+            for p, q, n in zip(batch["point_a"], batch["point_b"], batch["n_a"] + batch["n_b"], strict=True):
+                p, q = coordinates(p), coordinates(q)
+                d = min(len(p), len(q))
+                keep.append(int(np.minimum(folded(p, d), folded(q, d)).sum()) >= needed(n, percent))
+            yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     return run
 
@@ -119,12 +145,8 @@ def _fetch(k: int, bitmap: np.ndarray):
 def _verified(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["members_a"], batch["members_b"], strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort()
-                i = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * i >= percent * (len(both) - i))
+            sides = zip(batch["members_a"], batch["members_b"], strict=True)
+            keep = [reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides]
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     return run
@@ -136,13 +158,13 @@ class Box:
     LEAF = 32
 
     def __init__(self, at: np.ndarray, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        self.at, self.high, self.least = at, points[at].max(0).astype(np.int64), int(sizes[at].min())
+        self.at, self.high, self.least = at, points[at].max(0), int(sizes[at].min())
         first = labels[at[0]]
         self.label = first if (labels[at] == first).all() else None
         self.parts: list[Box] = []
         if len(at) > self.LEAF:
             own = points[at]
-            widest = int((own.max(0).astype(np.int64) - own.min(0)).argmax())
+            widest = int((own.max(0) - own.min(0)).argmax())
             order = at[np.argsort(own[:, widest], kind="stable")]
             cut = len(at) // 2
             self.parts = [Box(order[:cut], points, sizes, labels), Box(order[cut:], points, sizes, labels)]
@@ -175,17 +197,92 @@ def tree_join(left: Box, right: Box, points: np.ndarray, sizes: np.ndarray, labe
             yield a.at[i], b.at[j]
 
 
-def _joined(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(-1, GROUPS)
-        sizes, labels, nodes, chunk = (rows[c].to_numpy(np.int64) for c in ("n", "label", "node", "chunk"))
-        sides = [Box(np.flatnonzero(chunk == c), points, sizes, labels) for c in np.unique(chunk)]
-        one = rows["low"].iloc[0] == rows["high"].iloc[0]
-        if len(sides) == 1 and not one:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        found = list(tree_join(sides[0], sides[0] if one else sides[1], points, sizes, labels, percent))
-        i, j = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
-        return pd.DataFrame({"a": np.minimum(nodes[i], nodes[j]), "b": np.maximum(nodes[i], nodes[j])})
+def band_pairs(points: list[np.ndarray], rows: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that the bound allows: members of the band with each other and with the band below.
+
+    ``rows`` are one band of a block, or two chunks of it.
+    """
+    d = min(map(len, points))
+    flat = np.stack([folded(p, d) for p in points])
+    sizes, labels, chunk, own = (rows[c].to_numpy(np.int64) for c in ("n", "label", "chunk", "own"))
+    low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+    box = {}
+    for c in {low, high}:
+        for o in (0, 1):
+            at = np.flatnonzero((chunk == c) & (own == o))
+            box[c, o] = Box(at, flat, sizes, labels) if len(at) else None
+    sides = [(box[low, 1], box[high, 1]), (box[low, 1], box[high, 0])] + ([(box[low, 0], box[high, 1])] if low != high else [])
+    for a, b in sides:
+        if a and b:
+            yield from tree_join(a, b, flat, sizes, labels, percent)
+
+
+_GROUP = ["key", "band", "low", "high"]
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole groups from batches of rows that stand in order of their groups."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        cuts = np.flatnonzero((batch[_GROUP].to_numpy()[1:] != batch[_GROUP].to_numpy()[:-1]).any(1)) + 1
+        ends = [0, *cuts.tolist()]
+        for a, b in zip(ends, ends[1:], strict=False):
+            yield batch[a:b]
+        rest = batch[ends[-1] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _hopeful(percent: int):
+    """Members that the bound allows to link with some other class in their group: no pairs, at most the rows read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for rows in _groups(batches):
+            keep = np.zeros(len(rows), bool)
+            for i, j in band_pairs([coordinates(p) for p in rows["point"]], rows, percent):
+                keep[i] = keep[j] = True
+            if keep.any():
+                out.append(rows.loc[keep, [*_GROUP, "own", "node", "label", "chunk", "n"]])
+            if len(out) > 500:
+                yield pd.concat(out)
+                out = []
+        if out:
+            yield pd.concat(out)
+
+    return run
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    i = int((both[1:] == both[:-1]).sum())
+    return 100 * i >= percent * (len(both) - i)
+
+
+def _linked_within(percent: int):
+    """Links that join the classes of a group: what is joined already is not compared again, so no more than its rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(batches):
+            sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+            nodes, top = rows["node"].tolist(), {}
+
+            def root(x, top=top):
+                while x in top:
+                    x = top[x]
+                return x
+
+            labels, found = rows["label"].tolist(), []
+            for i, j in band_pairs([coordinates(point_of(s)) for s in sets], rows, percent):
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    x, y = root(labels[a]), root(labels[b])
+                    if x != y and reaches(sets[a], sets[b], percent):
+                        top[max(x, y)] = min(x, y)
+                        found.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
@@ -206,20 +303,24 @@ class _Join:
         rank[np.lexsort((h, n))] = np.arange(len(h))
         return h[by], rank[by]
 
-    def linked(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs among (a, b) that reach the threshold."""
-        sc = self.docs.sparkSession.sparkContext
+    def sets_of(self, ids: DataFrame, name: str) -> DataFrame:
+        """(node, members) for the nodes in ``ids``, made again from their texts; a few others may come along.
+
+        The nodes are known to the tasks as a map of fixed size, so the texts are neither joined nor shuffled.
+        """
         place = F.pmod(F.xxhash64("node"), F.lit(1 << MAP_BITS))
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
         bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
         words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()  # 2 ** MAP_BITS / 64 rows at most
         bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
         bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64)
-        sent = sc.broadcast(bitmap)
-        k = self.k
+        sent, k = self.docs.sparkSession.sparkContext.broadcast(bitmap), self.k
         fetch = lambda batches: _fetch(k, sent.value)(batches)
         sets = self.docs.filter("doc is not null").withColumn("place", F.pmod(F.xxhash64("doc"), F.lit(1 << MAP_BITS))).mapInPandas(fetch, "node long, members binary")
-        sets = self.tmp.table(sets, f"{name}-sets")
+        return self.tmp.table(sets, name)
+
+    def linked(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs among (a, b) that reach the threshold."""
+        sets = self.sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), f"{name}-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("members_a")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("members").alias("members_b")), "b"
         )
@@ -238,7 +339,7 @@ class _Join:
         keys = nodes.select("node", F.explode("prefix").alias("key"))
         blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("who"))
         blocks = tmp.table(blocks.filter("c > 1").groupBy("c", "lo", "hi", "who").agg(F.min("key").alias("key")), "blocks")
-        members = tmp.table(keys.join(blocks.filter("c > 2").select("key", "c", "lo", "hi"), "key"), "members")
+        members = tmp.table(keys.join(blocks.filter("c > 2").select("key", "lo", "hi"), "key"), "members")
         pairs = (
             blocks.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
             .union(members.filter("node <> lo").select("lo", "node"))
@@ -247,26 +348,40 @@ class _Join:
         )
         points = nodes.select("node", "n", "point")
         near = self._allowed(pairs, points)
-        tried = tmp.table(near, "tried")
-        links = self.linked(tried, "first")
+        links = self.linked(tmp.table(near, "tried"), "first")
         labels = components(links, tmp, "first-classes")
         labels = tmp.table(labels, "labels")
-        # blocks whose members are not of one class yet
-        named = members.join(labels, "node", "left").select("key", "c", "node", F.coalesce("component", "node").alias("label"))
-        named = tmp.table(named, "named")
-        open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        # a band is as wide as sizes may differ: a set goes to its own, and to the next one up to meet larger ones
+        width = float(np.log(100 / percent)) * (1 + 1e-9)
+        named = members.join(labels, "node", "left").join(points.select("node", "n"), "node").select(
+            "key", "node", F.coalesce("component", "node").alias("label"), F.floor(F.log(F.col("n").cast("double")) / width).cast("int").alias("band")
+        )
+        seats = named.withColumn("own", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("band", F.col("band") + 1 - F.col("own"))
+        seats = tmp.table(seats, "seats")
+        # those with members of two classes or more
+        counts = seats.groupBy("key", "band").agg(
+            F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("own").alias("some"), F.bit_xor(F.xxhash64("node", "own")).alias("who")
+        )
+        # bands of several blocks that have the same members are taken once
+        open_bands = counts.filter("x < y and some = 1").groupBy("band", "c", "x", "y", "who").agg(F.min("key").alias("key")).select("key", "band", "c")
         parts = F.ceil(F.col("c") / CHUNK).cast("int")
         dealt = (
-            named.join(open_keys, "key")
+            seats.join(open_bands, ["key", "band"])
             .withColumn("chunk", F.pmod(F.xxhash64("node"), parts).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            .select("key", "node", "label", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-            .join(points, "node")
+            .select("key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "own", "node", "label", "chunk")
         )
-        more = dealt.groupBy("key", "low", "high").applyInPandas(_joined(percent), "a long, b long").distinct()
-        more = tmp.table(more.join(tried, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            links = links.union(self.linked(more, "second"))
+        by_group = lambda rows: rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+        schema = "key long, band int, low int, high int, own int, node long, label long, chunk int, n int"
+        hopeful = tmp.table(by_group(dealt.join(points.hint("merge"), "node")).mapInPandas(_hopeful(percent), schema), "hopeful")
+        if not hopeful.isEmpty():
+            # groups that came down to the same members are taken once
+            alike = hopeful.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("x"), F.bit_xor(F.xxhash64("node", "own", "chunk")).alias("who"))
+            single = alike.groupBy("band", "low", "high", "c", "x", "who").agg(F.min("key").alias("key")).select(*_GROUP)
+            hopeful = tmp.table(hopeful.join(single, _GROUP), "hopeful-once")
+            sets_now = self.sets_of(hopeful.select("node").distinct(), "open-sets")
+            more = by_group(hopeful.join(sets_now.hint("merge"), "node")).mapInPandas(_linked_within(percent), "a long, b long").distinct()
+            links = links.union(tmp.table(more, "more-links"))
             labels = tmp.table(components(links, tmp, "classes"), "all-labels")
         member = sets.select("doc", "n", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left")
         return member.join(labels, "node", "left").select(
@@ -274,9 +389,12 @@ class _Join:
         )
 
     def _allowed(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
-        x = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
-        y = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
-        return pairs.join(x, "a").join(y, "b").mapInPandas(_bounded(self.percent), "a long, b long")
+        """Pairs not too unlike in size whose points allow a link; points are joined only to those alike in size."""
+        n = points.select("node", "n")
+        sized = pairs.join(n.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+        sized = sized.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        x, y = (points.select(F.col("node").alias(c), F.col("point").alias(f"point_{c}")).hint("merge") for c in "ab")
+        return sized.join(x, "a").join(y, "b").mapInPandas(_bounded(self.percent), "a long, b long")
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
