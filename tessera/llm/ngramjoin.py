@@ -321,9 +321,8 @@ class _Join:
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs among (a, b) that reach the threshold."""
         sets = self.sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), f"{name}-sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("members_a")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("members").alias("members_b")), "b"
-        )
+        x, y = (sets.select(F.col("node").alias(c), F.col("members").alias(f"members_{c}")).hint("merge") for c in "ab")
+        both = pairs.join(x, "a").join(y, "b")
         links = self.tmp.table(both.mapInPandas(_verified(self.percent), "a long, b long"), f"{name}-links")
         self.tmp.drop(f"{name}-sets")
         return links
