@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import let
 from tessera.llm.common import parallelism
 
 SHINGLE = 5
@@ -20,33 +21,33 @@ SHINGLE = 5
 SLOTS = 64
 
 
-def _uniform(bits: Column) -> Column:
-    """32 bits to the open unit interval."""
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+def _draw(h: Column, k: int) -> Column:
+    """The k-th uniform of a term."""
+    return (F.hash(h, F.lit(k)) + F.lit(2147483648.5)) / F.lit(4294967296.0)
 
 
-def _upper(x: Column) -> Column:
-    return _uniform(F.shiftrightunsigned(x, 32))
+def _gamma(h: Column, k: int) -> Column:
+    """Gamma(2, 1): the sum of two exponentials."""
+    return -F.log(_draw(h, k) * _draw(h, k + 1))
 
 
-def _lower(x: Column) -> Column:
-    return _uniform(x.bitwiseAND(F.lit(0xFFFFFFFF)))
+def _packed(h: Column, rank: Column, code: Column) -> Column:
+    place = ((rank + F.lit(1024.0)) * F.lit(float(1 << 30))).cast("long")
+    return F.shiftleft(h.bitwiseAND(F.lit(SLOTS - 1)), 57).bitwiseOR(F.shiftleft(place, 16)).bitwiseOR(code)
 
 
-def _gamma(x: Column) -> Column:
-    """Gamma(2, 1): the sum of two exponentials."""
-    return -F.log(_upper(x) * _lower(x))
+def _sample_one(h: Column) -> Column:
+    """A term of weight 1: ln w is 0, and so is t."""
+    rank = F.log(_gamma(h, 3)) - _gamma(h, 1) * (F.lit(1.0) - _draw(h, 5))
+    return _packed(h, rank, F.shiftright(h, 6).bitwiseAND(F.lit(0xFFFF)))
 
 
 def _sample(h: Column, weight: Column) -> Column:
     """Bin, rank and code of a term, packed so that the least long of a bin is its sample."""
-    x, y = F.xxhash64(h, F.lit(1)), F.xxhash64(h, F.lit(2))
-    r, log_c, b = _gamma(x), F.log(_gamma(y)), _upper(h)
-    t = F.when(weight == 1, F.lit(0).cast("long")).otherwise(F.floor(F.log(weight.cast("double")) / r + b))
-    rank = F.when(weight == 1, log_c - r * (F.lit(1.0) - b)).otherwise(log_c - r * (t - b + F.lit(1.0)))
-    place = ((rank + F.lit(1024.0)) * F.lit(float(1 << 30))).cast("long")
-    code = F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFF))
-    return F.shiftleft(h.bitwiseAND(F.lit(SLOTS - 1)), 57).bitwiseOR(F.shiftleft(place, 16)).bitwiseOR(code)
+    r, b = _gamma(h, 1), _draw(h, 5)
+    t = F.floor(F.log(weight.cast("double")) / r + b)
+    more = _packed(h, F.log(_gamma(h, 3)) - r * (t - b + F.lit(1.0)), F.when(t == 0, F.shiftright(h, 6)).otherwise(F.xxhash64(h, t)).bitwiseAND(F.lit(0xFFFF)))
+    return F.when(weight == 1, _sample_one(h)).otherwise(more)
 
 
 def _bin(packed: Column) -> Column:
@@ -67,11 +68,12 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
         .when(text != "", F.array(F.xxhash64(text)))
         .otherwise(F.array().cast("array<bigint>"))
     )
-    starts = F.filter(
-        F.when(F.size("_h") > 0, F.sequence(F.lit(0), F.size("_h") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 0) | (F.get(F.col("_h"), i) != F.get(F.col("_h"), i - 1)),
+    # weights are the lengths of runs of one hash in order
+    runs = lambda h: let(
+        F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1))),
+        lambda s: F.transform(s, lambda i, j: _sample(F.get(h, i), F.coalesce(F.get(s, j + 1), F.size(h)) - i)),
     )
-    packed = F.transform("_s", lambda s, j: _sample(F.get(F.col("_h"), s), F.coalesce(F.get(F.col("_s"), j + 1), F.size("_h")) - s))
+    packed = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.transform("_h", _sample_one)).otherwise(let(F.sort_array("_h"), runs))
     firsts = F.filter("_p", lambda p, i: (i == 0) | (_bin(p) != _bin(F.get(F.col("_p"), i - 1))))
     # an empty bin's own ranking of the others, the code below it
     borrowed = lambda b: F.array_min(
@@ -82,11 +84,10 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     digits = lambda codes: F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c)), 4, "0")), "")
     return (
         df.withColumn("_w", F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
-        .withColumn("_h", F.sort_array(terms))
+        .withColumn("_h", terms)
         .drop("_w")
-        .withColumn("_s", starts)
         .withColumn("_p", F.sort_array(packed))
-        .drop("_h", "_s")
+        .drop("_h")
         .withColumn("_f", firsts)
         .drop("_p")
         .withColumn("_m", F.when(F.size("_f") < SLOTS, bins))
