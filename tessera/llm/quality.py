@@ -19,7 +19,7 @@ from tessera.llm.common import Scratch
 
 BITS = 18
 #: Labelled rows that the hinge-loss model is fitted on, about; counts cover all labelled rows.
-MAX_FIT_ROWS = 12_000
+MAX_FIT_ROWS = 8_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SHAPE = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 
@@ -83,7 +83,7 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, *, cost: flo
 
 def _row(f: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = r[f]
-    return np.append(f, len(r)), np.append(v / max(np.sqrt(v @ v), 1e-12), 1.0)
+    return np.append(f, np.int32(len(r))).astype(np.int32), np.append(v / max(np.sqrt(v @ v), 1e-12), 1.0).astype(np.float32)
 
 
 def margin(f: np.ndarray, r: np.ndarray, w: np.ndarray) -> float:
