@@ -139,30 +139,28 @@ def single_linkage(distance: np.ndarray, number_of_chunks: int, stop: float) ->
     """Clusters with the distance of their last merge; sizes stay within ceil(n / number_of_chunks).
 
     The closest pair whose joint size fits is merged while it is no farther than ``stop``; of equal pairs the
-    first in order of clusters, which are in order of their first members. A merge updates one row of the
-    distances between clusters.
+    first in order of clusters, which are in order of their first members. A cluster keeps its first member's place
+    in the matrix, so a merge changes one row and closes another.
     """
     n = len(distance)
     most = max(1, -(-n // number_of_chunks))
-    groups, last = [[i] for i in range(n)], [None] * n
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    while len(groups) > 1:
-        sizes = np.array([len(g) for g in groups])
-        fits = np.triu(sizes[:, None] + sizes[None, :] <= most, 1)
-        allowed = np.where(fits, d, np.inf)
-        a, b = divmod(int(allowed.argmin()), len(groups))
+    groups, last = {i: [i] for i in range(n)}, dict.fromkeys(range(n))
+    size, alive, d = np.ones(n, int), np.ones(n, bool), distance.astype(float).copy()
+    allowed = np.where(np.triu(np.ones((n, n), bool), 1) & (most > 1), d, np.inf)
+    while True:
+        a, b = divmod(int(allowed.argmin()), n)
         if not np.isfinite(allowed[a, b]) or allowed[a, b] > stop:
             break
         last[a] = float(allowed[a, b])
+        groups[a] = sorted(groups[a] + groups.pop(b))
+        size[a] += size[b]
+        alive[b] = False
         d[a] = np.minimum(d[a], d[b])
-        d[:, a], d[a, a] = d[a], np.inf
-        groups[a] = sorted(groups[a] + groups[b])
-        d = np.delete(np.delete(d, b, 0), b, 1)
-        del groups[b], last[b]
-        by = sorted(range(len(groups)), key=lambda i: groups[i][0])
-        groups, last, d = [groups[i] for i in by], [last[i] for i in by], d[np.ix_(by, by)]
-    return list(zip(groups, last, strict=True))
+        d[:, a] = d[a]
+        allowed[b], allowed[:, b] = np.inf, np.inf
+        row = np.where(alive & (size + size[a] <= most), d[a], np.inf)
+        allowed[a, a + 1 :], allowed[:a, a] = row[a + 1 :], row[:a]
+    return [(groups[i], last[i]) for i in sorted(groups)]
 
 
 def density_clusters(distance: np.ndarray, radius: float, least: int) -> list[list[int]]:
