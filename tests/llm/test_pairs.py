@@ -162,3 +162,15 @@ def test_repeated_passages(spark):
     assert got[28] == got[29] == [(0, 60, got[28][0][2])]
     assert not any(got[d] for d in (30, 31, 32, 33))
     assert P.repeated_passages(rows.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("many,apart", [(70, False), (200, True), (2000, False)])
+def test_frequent_passage_is_one_passage_of_all_its_documents(spark, many, apart):
+    rng = random.Random(many)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    shared = make(60)
+    ids = rng.sample(range(10**9), many) if apart else range(many)
+    rows = spark.createDataFrame([(i, " ".join(make(5) + shared + make(5))) for i in ids], "doc_id long, text string").coalesce(1)
+    got = [r for r in P.repeated_passages(rows).collect() if r.start_word <= 6 and r.end_word >= 64]
+    assert {r.doc_id for r in got} == set(ids)
+    assert len({r.passage_id for r in got}) == 1
