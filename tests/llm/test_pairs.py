@@ -174,3 +174,31 @@ def test_frequent_passage_is_one_passage_of_all_its_documents(spark, many, apart
     got = [r for r in P.repeated_passages(rows).collect() if r.start_word <= 6 and r.end_word >= 64]
     assert {r.doc_id for r in got} == set(ids)
     assert len({r.passage_id for r in got}) == 1
+
+
+def test_exact_passage_behind_texts_that_share_only_its_minima(spark):
+    rng = random.Random(7)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    shared = make(60)
+    texts, s = [], P.shingles(P.word_hashes([" ".join(shared)])[0], P.SHINGLE)
+    for k in range(P.HASHES):
+        c = int(P.mix(s ^ P._SEEDS[k]).argmin())
+        least, made = int(P.mix(s ^ P._SEEDS[k])[c]), 0
+        while made < 130:  # 130 of them for each function, all before the two that share the passage
+            text = " ".join(make(30) + shared[c : c + P.SHINGLE] + make(30))
+            own = P.shingles(P.word_hashes([text])[0], P.SHINGLE)
+            if int(P.mix(own ^ P._SEEDS[k]).min()) == least:
+                texts.append(text)
+                made += 1
+    n = len(texts)
+    texts += [" ".join(make(9) + shared + make(4)), " ".join(make(3) + shared + make(8))]
+    got = {r.doc_id: r for r in P.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert {d: (r.start_word, r.end_word) for d, r in got.items()} == {n: (9, 69), n + 1: (3, 63)}
+    assert got[n].passage_id == got[n + 1].passage_id
+
+
+def test_run_hashes_tell_runs():
+    s = np.random.default_rng(1).integers(0, 2**63, 300, dtype=np.uint64)
+    s[200:260] = s[20:80]
+    h = P._runs(s, 46)
+    assert len(h) == 255 and [(i, j) for i in range(255) for j in range(i) if h[i] == h[j]] == [(200 + i, 20 + i) for i in range(15)]
