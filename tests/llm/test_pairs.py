@@ -202,3 +202,13 @@ def test_run_hashes_tell_runs():
     s[200:260] = s[20:80]
     h = P._runs(s, 46)
     assert len(h) == 255 and [(i, j) for i in range(255) for j in range(i) if h[i] == h[j]] == [(200 + i, 20 + i) for i in range(15)]
+
+
+@pytest.mark.parametrize("added", range(3, 9))
+def test_words_put_into_a_passage_do_not_part_it(added):
+    rng = np.random.default_rng(added)
+    base = rng.integers(0, 2**24, 92)
+    other = np.concatenate([base[:44], rng.integers(0, 2**24, added + 4), base[48:]])  # words put in at half break four shingles
+    a, b = np.concatenate([rng.integers(0, 2**24, 40), base]), np.concatenate([rng.integers(0, 2**24, 9), other])
+    for d in (31, 31 - added):  # agreement in the first half only, or in the second
+        assert P.alike(a, b, d, d, 46, 0.8) == [(40, 132, 9, 9 + len(other))]
