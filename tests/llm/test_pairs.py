@@ -212,3 +212,32 @@ def test_words_put_into_a_passage_do_not_part_it(added):
     a, b = np.concatenate([rng.integers(0, 2**24, 40), base]), np.concatenate([rng.integers(0, 2**24, 9), other])
     for d in (31, 31 - added):  # agreement in the first half only, or in the second
         assert P.alike(a, b, d, d, 46, 0.8) == [(40, 132, 9, 9 + len(other))]
+
+
+def test_near_passages_are_proposed_and_confirmed():
+    """Passages of 0.8 to 0.9: functions whose shared windows lead to them, at least as many as must agree."""
+    rng = random.Random(11)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    numbers = lambda s: P._numbers(s.view(np.uint8).reshape(-1, 8)[:, : P.WIDE].tobytes())
+    found = tried = 0
+    while tried < 200:
+        w = make(rng.randrange(55, 120))
+        v, at = list(w), rng.randrange(len(w))
+        v[at : at + 1] = make(rng.randrange(1, 5))
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (w, v))
+        if not 0.8 <= len(x & y) / len(x | y) < 0.9:
+            continue
+        tried += 1
+        before = rng.randrange(5, 100)
+        s, t = (P.shingles(P.word_hashes([" ".join(q)])[0], P.SHINGLE) for q in (make(before) + w + make(50), make(30) + v + make(40)))
+        agree = 0
+        for k in range(P.HASHES):
+            a, b = ({m: at for m, *at in P.compact_windows(z, k, 46)} for z in (s, t))
+            pairs = [(a[m], b[m]) for m in a.keys() & b.keys()]
+            agree += any(
+                min(l0 + hi + 4, before + len(w)) - max(l0 + lo, before) >= 0.8 * len(w)
+                for (c, l0, h0), (pc, l1, h1) in pairs
+                for lo, hi, *_ in P.alike(numbers(s[l0 : h0 + 1]), numbers(t[l1 : h1 + 1]), c - l0 - pc + l1, c - l0 - pc + l1, 46, 0.8)
+            )
+        found += agree >= P.ENOUGH
+    assert found >= 0.98 * tried, found
