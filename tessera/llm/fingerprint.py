@@ -3,9 +3,10 @@
 A text's terms are its five-word shingles, weighted by how often each occurs. Term and weight w draw, from
 hashes of the term alone, r and c from Gamma(2, 1) and b from the unit interval; with t = floor(ln w / r + b)
 the sample's rank is ln a = ln c - r (t - b + 1), and the pair (term, t) of least rank is the signature: two
-texts pick the same pair with a chance of their generalised Jaccard similarity. Terms are dealt to SLOTS bins
-by hash and each bin takes its own sample, so a term is drawn for once, not SLOTS times; a bin without terms
-copies the bin that ranks first for it among those that have some.
+texts pick the same pair with a chance of their generalised Jaccard similarity. The occurrences of terms are dealt
+to SLOTS bins by hashes of term and number, and each bin takes its own sample with a term's occurrences there as its
+weight: draws are no more than words, and a heavy term holds its share of the slots. A bin without terms copies the
+bin that ranks first for it among those that have some.
 """
 
 from __future__ import annotations
@@ -31,23 +32,35 @@ def _gamma(h: Column, k: int) -> Column:
     return -F.log(_draw(h, k) * _draw(h, k + 1))
 
 
-def _packed(h: Column, rank: Column, code: Column) -> Column:
+def _own_bin(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SLOTS - 1))
+
+
+def _packed(bin_: Column, rank: Column, code: Column) -> Column:
     place = ((rank + F.lit(1024.0)) * F.lit(float(1 << 30))).cast("long")
-    return F.shiftleft(h.bitwiseAND(F.lit(SLOTS - 1)), 57).bitwiseOR(F.shiftleft(place, 16)).bitwiseOR(code)
+    return F.shiftleft(bin_, 57).bitwiseOR(F.shiftleft(place, 16)).bitwiseOR(code)
 
 
 def _sample_one(h: Column) -> Column:
     """A term of weight 1: ln w is 0, and so is t."""
     rank = F.log(_gamma(h, 3)) - _gamma(h, 1) * (F.lit(1.0) - _draw(h, 5))
-    return _packed(h, rank, F.shiftright(h, 6).bitwiseAND(F.lit(0xFFFF)))
+    return _packed(_own_bin(h), rank, F.shiftright(h, 6).bitwiseAND(F.lit(0xFFFF)))
 
 
-def _sample(h: Column, weight: Column) -> Column:
-    """Bin, rank and code of a term, packed so that the least long of a bin is its sample."""
+def _sample(h: Column, bin_: Column, weight: Column) -> Column:
+    """Bin, rank and code of a term in a bin, packed so that the least long of a bin is its sample."""
     r, b = _gamma(h, 1), _draw(h, 5)
     t = F.floor(F.log(weight.cast("double")) / r + b)
-    more = _packed(h, F.log(_gamma(h, 3)) - r * (t - b + F.lit(1.0)), F.when(t == 0, F.shiftright(h, 6)).otherwise(F.xxhash64(h, t)).bitwiseAND(F.lit(0xFFFF)))
-    return F.when(weight == 1, _sample_one(h)).otherwise(more)
+    return _packed(bin_, F.log(_gamma(h, 3)) - r * (t - b + F.lit(1.0)), F.when(t == 0, F.shiftright(h, 6)).otherwise(F.xxhash64(h, t)).bitwiseAND(F.lit(0xFFFF)))
+
+
+def _samples(h: Column, weight: Column) -> Column:
+    """A term's samples in every bin that has some of its occurrences; the first is dealt by the term's own hash."""
+    bins = F.transform(F.sequence(F.lit(1), weight), lambda j: F.when(j == 1, _own_bin(h)).otherwise(_own_bin(F.xxhash64(h, j))))
+    # in another bin the term draws anew
+    drawn = lambda b: F.when(b == _own_bin(h), h).otherwise(F.xxhash64(h, b))
+    dealt = let(bins, lambda all_: F.transform(F.array_distinct(all_), lambda b: let(drawn(b), lambda g: _sample(g, b, F.size(F.filter(all_, lambda x: x == b))))))
+    return F.when(weight == 1, F.array(_sample_one(h))).otherwise(dealt)
 
 
 def _bin(packed: Column) -> Column:
@@ -71,7 +84,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     # weights are the lengths of runs of one hash in order
     runs = lambda h: let(
         F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1))),
-        lambda s: F.transform(s, lambda i, j: _sample(F.get(h, i), F.coalesce(F.get(s, j + 1), F.size(h)) - i)),
+        lambda s: F.flatten(F.transform(s, lambda i, j: _samples(F.get(h, i), F.coalesce(F.get(s, j + 1), F.size(h)) - i))),
     )
     packed = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.transform("_h", _sample_one)).otherwise(let(F.sort_array("_h"), runs))
     firsts = F.filter("_p", lambda p, i: (i == 0) | (_bin(p) != _bin(F.get(F.col("_p"), i - 1))))

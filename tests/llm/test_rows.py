@@ -45,6 +45,21 @@ def test_fingerprint_likeness_is_weighted_jaccard(spark):
     assert abs(np.mean(error)) < 0.03 and np.std(error) < 0.09
 
 
+def test_fingerprint_likeness_of_skewed_weights(spark):
+    rng = random.Random(6)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, texts = own(12), []
+    for heavy, light in ((["x"] * 10000, 300), (["x"] * 1000, 400), (line * 100, 300), (line * 30, 200)) * 3:
+        texts += [" ".join(heavy + own(light)), " ".join(heavy + own(light))]
+    prints = {r.doc_id: r.p for r in fingerprint.with_fingerprint(frame(spark, texts), "text", "p").collect()}
+    error = []
+    for i in range(0, len(texts), 2):
+        a, b = (Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in texts[i : i + 2])
+        same = sum(prints[i][k : k + 4] == prints[i + 1][k : k + 4] for k in range(0, 256, 4)) / 64
+        error.append(same - sum((a & b).values()) / sum((a | b).values()))
+    assert abs(np.mean(error)) < 0.05 and max(map(abs, error)) < 0.25, error
+
+
 def test_fingerprints_of_odd_texts(spark):
     prints = {r.doc_id: r.p for r in fingerprint.with_fingerprint(frame(spark, ODD, ", p string", ("clash",)), "text", "p").collect()}
     assert prints[0] == prints[1] == "" and prints[4] == prints[5] == prints[9]
