@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
@@ -413,8 +413,16 @@ def op7_query(spark, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the least id."""
+    """One row of each class of near copies: the one with the least id.
+
+    Rows that repeat an id and its text are one. Rows without an id, and further texts of an id, take part under ids
+    made from their text, above all others, so they stay only where their class has nothing else.
+    """
     names = docs.columns
-    first = near_classes(docs).filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.select(*names)
+    made = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    order = Window.partitionBy("_id").orderBy("text")
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made)).withColumns({"_n": F.row_number().over(order), "_last": F.lag("text").over(order)})
+    rows = rows.filter("_n = 1 or not (text <=> _last)").withColumn("_id", F.when(F.col("_n") == 1, F.col("_id")).otherwise(made)).drop("_n", "_last")
+    rows = Scratch(spark, "near-stage").table(rows, "rows")
+    first = near_classes(rows.select(F.col("_id").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    return rows.join(first, "_id", "left_semi").select(*names)

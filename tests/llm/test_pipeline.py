@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from tessera.llm import queries
+from tessera.llm.ngramjoin import near_stage
 
 
 def test_pipeline_stages_take_effect(spark, tmp_path):
@@ -28,5 +29,13 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert {d for r in rows for d in r.doc_ids} == left[3] <= left[2]
 
 
+def test_one_row_of_each_class_stays(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    docs = [(1, text("a")), (1, text("a")), (2, text("a") + " more"), (None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("d") + " more"), (8, ""), (9, None)]
+    kept = near_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert {(r.doc_id, r.text) for r in kept} >= {(1, text("a")), (None, text("b")), (7, text("c")), (8, ""), (9, None)}
+    assert len(kept) == 6 and sum((r.text or "").startswith("d0") for r in kept) == 1
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
