@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Scratch
+
 PACKED = "shard string, row int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<long>, pieces array<int>, n_tokens int"
 
 _LOADED: dict = {}
@@ -170,7 +172,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
-    return _packed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """The matrices as written: Parquet in the shared folder, read back."""
+    return Scratch(spark, "packing").table(_packed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "matrices")
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

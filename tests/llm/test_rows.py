@@ -207,6 +207,14 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, texts).limit(0), path, tokenizers.PATTERN).collect() == []
 
 
+def test_packed_rows_are_written_and_read_back(spark, tmp_path):
+    frame(spark, ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text")
+    got = packing.op5_query(spark, str(tmp_path))
+    assert got.inputFiles() and not any("documents.parquet" in f for f in got.inputFiles())
+    assert sorted(map(str, got.collect())) == sorted(map(str, packing._packed(docs).collect()))
+
+
 def plain_best_fit(lengths, size):
     rows = []
     for i in np.argsort(-np.array(lengths), kind="stable"):
