@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and
-    kept in the session's configuration.
+    Without that setting a folder is made up only where all runs on one machine (``local`` masters); on a cluster
+    such a folder would not be seen by the executors, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,5 +58,26 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def map_text(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], dict[str, Any]]], fields: str, rows: int = 256) -> DataFrame:
+    """``docs`` without its text column, plus ``fields`` worked out from the texts, ``rows`` at a time.
+
+    ``make`` is called once a task and gives a function from texts to columns. All other columns pass through as
+    Arrow data: no id goes through a float, whatever nulls stand beside it. Columns of ``docs`` named like a field
+    give way to it.
+    """
+    added = StructType.fromDDL(fields)
+    kept = [f for f in docs.schema.fields if f.name != text_col and f.name not in added.names]
+    schema = StructType(kept + added.fields)
+    arrow = to_arrow_schema(added)
+    texts = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).alias("_map_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                made = work(part.column(len(kept)).to_pylist())
+                new = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *new], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
