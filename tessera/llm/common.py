@@ -59,26 +59,38 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def map_text(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], dict[str, Any]]], fields: str, rows: int = 256) -> DataFrame:
-    """``docs`` without its text column, plus ``fields`` worked out from the texts, ``rows`` at a time.
+def map_text(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], dict[str, Any]]], fields: str, rows: int = 256, keep_text: bool = False) -> DataFrame:
+    """``docs`` without its text column (unless ``keep_text``), plus ``fields`` worked out from the texts, ``rows`` at a time.
 
     ``make`` is called once a task and gives a function from texts to columns. All other columns pass through as
     Arrow data: no id goes through a float, whatever nulls stand beside it. Columns of ``docs`` named like a field
     give way to it.
     """
     added = StructType.fromDDL(fields)
-    kept = [f for f in docs.schema.fields if f.name != text_col and f.name not in added.names]
+    kept = [f for f in docs.schema.fields if (keep_text or f.name != text_col) and f.name not in added.names]
     schema = StructType(kept + added.fields)
     arrow = to_arrow_schema(added)
-    texts = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).alias("_map_text"))
+    columns = [F.col(f"`{f.name}`") for f in kept]
+    read = [f.name for f in kept].index(text_col) if keep_text else len(kept)
+    texts = docs.select(*columns) if keep_text else docs.select(*columns, F.col(f"`{text_col}`").alias("_map_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.slice(at, rows)
-                made = work(part.column(len(kept)).to_pylist())
+                made = work(part.column(read).to_pylist())
                 new = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *new], names=schema.names)
 
     return texts.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named by their place, and the new name of each old one.
+
+    Stages work on such names, so that no column of the input is taken for one of theirs; ``toDF(*docs.columns)``
+    gives the old names back.
+    """
+    new = [f"_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new, strict=True))

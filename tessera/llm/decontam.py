@@ -8,14 +8,14 @@ All windows of the benchmark go into one automaton, which reads every document o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_text, numbered
+
 #: Bytes of benchmark text in one automaton. A longer benchmark is scanned block by block.
 BLOCK_BYTES = 400_000
 
@@ -82,33 +82,32 @@ def scan(text: str | None, automaton) -> tuple[int, list[str], list[dict]]:
 _BUILT: dict = {}
 
 
-def merge_runs(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["start_word"], s["end_word"])):
-        if out and s["start_word"] <= out[-1]["end_word"]:
-            if s["end_word"] > out[-1]["end_word"]:
-                out[-1] = out[-1] | {"end_word": s["end_word"], "end_char": s["end_char"]}
-        else:
-            out.append(dict(s))
-    return out
-
-
-def _scanner(items: list[tuple[str, str | None]], n: int, text_col: str):
-    """Adds what this block of items hits to what earlier blocks have."""
+def _scanner(items: list[tuple[str, str | None]], n: int):
+    """What each text hits of this block of items."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         key = (n, tuple(items))
         if key not in _BUILT:  # one automaton a Python worker
             _BUILT.clear()
             _BUILT[key] = build(items, n)
-        for batch in batches:
-            rows = [scan(t, _BUILT[key]) for t in batch[text_col]]
-            batch["n_words"] = [r[0] for r in rows]
-            batch["items"] = [sorted({*old, *r[1]}) for old, r in zip(batch["items"], rows, strict=True)]
-            batch["spans"] = [merge_runs([*old, *r[2]]) for old, r in zip(batch["spans"], rows, strict=True)]
-            yield batch
+        automaton = _BUILT[key]
+
+        def run(texts: list[str | None]) -> dict:
+            rows = [scan(t, automaton) for t in texts]
+            return {"n_words": [r[0] for r in rows], "items": [r[1] for r in rows], "spans": [r[2] for r in rows]}
+
+        return run
 
-    return run
+    return make
+
+
+def _joined(old: str, new: str) -> tuple[Column, Column]:
+    """Items and spans of two blocks as one; spans that touch become one, as within a block."""
+    both = F.array_sort(F.concat(f"{old}.spans", f"{new}.spans"))
+    touch = lambda acc, s: s["start_word"] <= F.element_at(acc, -1)["end_word"]
+    grown = lambda acc, s: F.when(s["end_word"] > F.element_at(acc, -1)["end_word"], F.struct(F.element_at(acc, -1)["start_word"].alias("start_word"), s["end_word"].alias("end_word"), F.element_at(acc, -1)["start_char"].alias("start_char"), s["end_char"].alias("end_char"))).otherwise(F.element_at(acc, -1))
+    merged = F.aggregate(both, F.slice(both, 1, 1), lambda acc, s: F.when(touch(acc, s), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown(acc, s)))).otherwise(F.concat(acc, F.array(s))))
+    return F.array_sort(F.array_union(f"{old}.items", f"{new}.items")), F.when(F.size(both) == 0, both).otherwise(merged)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str | None]]]:
@@ -132,8 +131,9 @@ def find_contamination(
     item_text_col: str = "text",
     window: int = 13,
     block_bytes: int = BLOCK_BYTES,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """``docs`` without its text, plus n_words, items (sorted) and spans (hit runs, end exclusive).
+    """``docs`` without its text (unless ``keep_text``), plus n_words, items (sorted) and spans (hit runs, end exclusive).
 
     Null and empty texts have no words and no hits; null items and items without words hit nothing, as
     does an empty benchmark. Repeated rows are scanned and returned as often as they stand. Input
@@ -141,10 +141,21 @@ def find_contamination(
     scanned block after block as each row passes through; rows are neither joined nor shuffled.
     """
     spans = f"array<struct<{HITS.replace(' int', ':int')}>>"
-    found = docs.withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast(spans)})
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
-        found = found.mapInPandas(_scanner(block, window, text_col), found.schema)
-    return found.drop(text_col)
+    found, blocks = docs, benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
+    if len(blocks) == 1:
+        return map_text(docs, text_col, _scanner(blocks[0], window), f"n_words long, items array<string>, spans {spans}", keep_text=keep_text)
+    names = [c for c in docs.columns if (keep_text or c != text_col) and c not in ("n_words", "items", "spans")]
+    plain, new = numbered(docs)
+    for i, block in enumerate(blocks):
+        found = map_text(plain if i == 0 else found, new[text_col], _scanner(block, window), f"n_words long, items array<string>, spans {spans}", keep_text=True)
+        now = F.struct("items", "spans")
+        found = found.withColumn("_new", now).drop("items", "spans")
+        if i:
+            items, merged = _joined("_old", "_new")
+            found = found.withColumn("_old", F.struct(items.alias("items"), merged.alias("spans"))).drop("_new")
+        else:
+            found = found.withColumnRenamed("_new", "_old")
+    return found.select(*[F.col(new[c]).alias(c) for c in names], "n_words", "_old.items", "_old.spans")
 
 
 def words_hit(spans: Column) -> Column:
@@ -166,8 +177,12 @@ def op6_query(spark, sf_dir: str) -> DataFrame:
 
 
 def decontam_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated, by the same rule as the query."""
-    names = docs.columns
-    found = find_contamination(docs.withColumn("_scan", F.col("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col="_scan")
+    """Documents that are not contaminated, by the same rule as the query.
+
+    Rows with null or empty text have nothing to hit and stay; so do repeated rows and rows with a null id, each for
+    itself. An empty table or benchmark is no error. Columns of any name pass through as they are.
+    """
+    plain, new = numbered(docs)
+    found = find_contamination(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col=new["text"], keep_text=True)
     n = words_hit(F.col("spans"))
-    return found.filter(~((n > 0) & (20 * n >= F.col("n_words")))).select(*names)
+    return found.filter(~((n > 0) & (20 * n >= F.col("n_words")))).select(*plain.columns).toDF(*docs.columns)

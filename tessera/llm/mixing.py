@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, numbered
 
 LEVELS, BITS = 3, 12
 #: Per-source tables of up to this many rows (some 60 bytes each) are broadcast; longer ones are joined by shuffle.
@@ -64,13 +64,15 @@ def mix_sources(
     A source whose target is q whole times its words plus a rest takes every document q times, and once
     more each document whose hash lies under the threshold that the rest allows. Null text has size 0;
     null source is a source of its own, last in order; rows with one id share a hash and are taken alike;
-    an empty table gives an empty result. Columns of ``docs`` named like the four new ones are replaced.
+    an empty table gives an empty result. Columns of ``docs`` named like the four new ones are replaced; all others pass.
     """
+    old, (docs, new) = docs.columns, numbered(docs)
+    id_col, text_col, source_col = new[id_col], new[text_col], new[source_col]
     spark = docs.sparkSession
     tmp = Scratch(spark, "mix")
     shift = 64 - LEVELS * BITS
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), shift)
-    sized = docs.drop("size", "source_size", "target", "copies").withColumns({"_mix_source": F.col(source_col), "size": word_count(F.col(text_col)), "_mix_key": key})
+    sized = docs.withColumns({"_mix_source": F.col(source_col), "size": word_count(F.col(text_col)), "_mix_key": key})
     narrow = tmp.table(sized.select("_mix_source", "size", "_mix_key"), "sizes")
     per_source = narrow.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = source_targets(per_source, weights, max_repeats)
@@ -108,7 +110,9 @@ def mix_sources(
         )
     ends = state.select("source", "source_size", "target", "whole", F.col("prefix").alias("_threshold"))
     extra = F.when((F.col("whole") < max_repeats) & (F.col("_mix_key") < F.col("_threshold")), 1).otherwise(0)
-    return _with_source(sized, ends, few).withColumn("copies", (F.col("whole") + extra).cast("long")).drop("_mix_source", "_mix_key", "whole", "_threshold")
+    made = ("size", "source_size", "target", "copies")
+    mixed = _with_source(sized, ends, few).withColumn("copies", (F.col("whole") + extra).cast("long"))
+    return mixed.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(old) if c not in made], *made)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +121,12 @@ def op10_query(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix; one that is taken n times stands there n times."""
-    names = docs.columns
-    mixed = mix_sources(docs).filter(F.col("copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    """Documents of the mix; one that is taken n times stands there n times.
+
+    Null and empty texts have no words, so they cost nothing: they stay as often as their source's whole rounds say.
+    A null source is a source; rows of one id are taken alike. An empty table gives an empty one. Columns of any name
+    pass through as they are.
+    """
+    plain, new = numbered(docs)
+    mixed = mix_sources(plain, id_col=new["doc_id"], text_col=new["text"], source_col=new["source"]).filter(F.col("copies") > 0)
+    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*plain.columns).toDF(*docs.columns)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, map_text, numbered
 from tessera.llm.graph import components
 from tessera.llm.shingles import shingles, word_hashes
 
@@ -35,12 +35,14 @@ from tessera.llm.shingles import shingles, word_hashes
 PER_GROUP, LEAST_GROUPS = 4, 16
 #: Members of a block that one task holds against each other; twice as many points lie in a task's group.
 CHUNK = 2000
-#: Bits of the map of documents whose sets are fetched; a full map costs time, never results.
-MAP_BITS = 24
+#: Bits of the map of documents whose sets are fetched, and for how many nodes it is used: a quarter full at most.
+MAP_BITS, MAP_NODES = 24, 1 << 22
 #: Shingles in more than this share of the documents come last in the order. The order decides speed alone.
 COMMON = 5e-5
+#: So many of them are sent to the tasks (16 bytes each); any further ones keep their place among the others.
+MOST_COMMON = 1_000_000
 
-_SETS = "doc long, n int, k1 long, k2 long, prefix array<long>, point binary"
+_SETS = "n int, k1 long, k2 long, prefix array<long>, point binary"
 
 
 def needed(total, percent: int):
@@ -99,19 +101,18 @@ def _frequent(k: int):
 def _describe(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
     """common: sorted hashes of common shingles; rank: their places in the order, after all others."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _parts(batches):
-            rows = []
-            for doc, own in zip(part["doc"].tolist(), _sets(part["text"].tolist(), k), strict=True):
-                at = np.searchsorted(common, own)
-                last = np.zeros(len(own), np.int64)
-                if len(common):
-                    at = np.minimum(at, len(common) - 1)
-                    last = np.where(common[at] == own, rank[at] + 1, 0)
-                first = own[np.lexsort((own, last))[: prefix_size(len(own), percent)]]
-                d = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-                rows.append((doc, len(own), d[0], d[1], first.astype(np.int64), point_of(own)))
-            yield pd.DataFrame(rows, columns=["doc", "n", "k1", "k2", "prefix", "point"]).astype({"doc": "Int64"})
+    def run(texts: list[str | None]) -> dict:
+        out: dict[str, list] = {c: [] for c in ("n", "k1", "k2", "prefix", "point")}
+        for own in _sets(texts, k):
+            last = np.zeros(len(own), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                last = np.where(common[at] == own, rank[at] + 1, 0)
+            first = own[np.lexsort((own, last))[: prefix_size(len(own), percent)]]
+            k1, k2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist()
+            for c, value in (("n", len(own)), ("k1", k1), ("k2", k2), ("prefix", first.astype(np.int64)), ("point", point_of(own))):
+                out[c].append(value)
+        return out
 
     return run
 
@@ -293,11 +294,11 @@ class _Join:
         self.tmp = Scratch(docs.sparkSession, "ngram-join")
 
     def common(self) -> tuple[np.ndarray, np.ndarray]:
-        """At most (mean set size) / COMMON hashes: each stands in more than that share of the documents."""
+        """Hashes that stand in more than a share COMMON of the documents; the MOST_COMMON first of them, if there are more."""
         total = self.docs.count()
         counts = self.docs.select("text").mapInPandas(_frequent(self.k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        rows = counts.filter(F.col("n") > max(16, COMMON * total)).toPandas()
-        h, n = rows["shingle"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64)
+        rows = counts.filter(F.col("n") > max(16, COMMON * total)).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+        h, n = rows["shingle"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
         by = np.argsort(h)
         rank = np.empty(len(h), np.int64)
         rank[np.lexsort((h, n))] = np.arange(len(h))
@@ -306,17 +307,24 @@ class _Join:
     def sets_of(self, ids: DataFrame, name: str) -> DataFrame:
         """(node, members) for the nodes in ``ids``, made again from their texts; a few others may come along.
 
-        The nodes are known to the tasks as a map of fixed size, so the texts are neither joined nor shuffled.
+        Up to MAP_NODES nodes are known to the tasks as a map of fixed size (2 MB), so the texts are neither joined nor
+        shuffled; more of them are joined.
         """
+        k, docs = self.k, self.docs.filter("doc is not null")
+        if ids.count() > MAP_NODES:
+            some = docs.join(ids.select(F.col("node").alias("doc")).distinct().hint("merge"), "doc", "left_semi")
+            return self.tmp.table(some.withColumn("place", F.lit(0).cast("long")).mapInPandas(_fetch(k, np.ones(1, np.uint64)), "node long, members binary"), name)
         place = F.pmod(F.xxhash64("node"), F.lit(1 << MAP_BITS))
         bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-        words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()  # 2 ** MAP_BITS / 64 rows at most
+        words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2 ** MAP_BITS / 64 rows at most
         bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-        bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64)
-        sent, k = self.docs.sparkSession.sparkContext.broadcast(bitmap), self.k
+        bitmap[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.uint64)
+        sent = docs.sparkSession.sparkContext.broadcast(bitmap)
         fetch = lambda batches: _fetch(k, sent.value)(batches)
-        sets = self.docs.filter("doc is not null").withColumn("place", F.pmod(F.xxhash64("doc"), F.lit(1 << MAP_BITS))).mapInPandas(fetch, "node long, members binary")
-        return self.tmp.table(sets, name)
+        sets = docs.withColumn("place", F.pmod(F.xxhash64("doc"), F.lit(1 << MAP_BITS))).mapInPandas(fetch, "node long, members binary")
+        made = self.tmp.table(sets, name)
+        sent.destroy()
+        return made
 
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs among (a, b) that reach the threshold."""
@@ -330,7 +338,8 @@ class _Join:
     def run(self) -> DataFrame:
         tmp, percent = self.tmp, self.percent
         common, rank = self.common()
-        sets = tmp.table(self.docs.mapInPandas(_describe(self.k, percent, common, rank), _SETS), "sets")
+        k = self.k
+        sets = tmp.table(map_text(self.docs, "text", lambda: _describe(k, percent, common, rank), _SETS), "sets")
         nodes = sets.filter("n > 0 and doc is not null").groupBy("k1", "k2").agg(
             F.min("doc").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("point").alias("point")
         )
@@ -402,7 +411,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Two documents link when 100 * shared >= percent * united shingles. With fewer words than a shingle has, the
     whole sequence is the one shingle. Texts that are null or without words have no shingles and link with
     nothing. Rows with a null id link with nothing either and get the class of an equal set, if there is one. Repeated
-    rows come back as often as they stand. An empty table gives an empty result; other columns are left out.
+    rows come back as often as they stand; different texts under one id count as one document. An empty table gives an empty result; other columns are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return _Join(rows, words, percent).run().withColumnRenamed("doc", id_col)
@@ -416,13 +425,16 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies: the one with the least id.
 
     Rows that repeat an id and its text are one. Rows without an id, and further texts of an id, take part under ids
-    made from their text, above all others, so they stay only where their class has nothing else.
+    made from their text, above all others, so they stay only where their class has nothing else. Texts that are null
+    or have no words link with nothing and stay, one row for an id. An empty table gives an empty one. Columns of any
+    name pass through as they are.
     """
-    names = docs.columns
-    made = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    order = Window.partitionBy("_id").orderBy("text")
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made)).withColumns({"_n": F.row_number().over(order), "_last": F.lag("text").over(order)})
-    rows = rows.filter("_n = 1 or not (text <=> _last)").withColumn("_id", F.when(F.col("_n") == 1, F.col("_id")).otherwise(made)).drop("_n", "_last")
+    plain, new = numbered(docs)
+    doc, text = F.col(new["doc_id"]).cast("long"), F.col(new["text"])
+    made = F.xxhash64(doc, text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    order = Window.partitionBy("id").orderBy(text)
+    rows = plain.withColumn("id", F.coalesce(doc, made)).withColumns({"n": F.row_number().over(order), "last": F.lag(text).over(order)})
+    rows = rows.filter((F.col("n") == 1) | ~text.eqNullSafe(F.col("last"))).withColumn("id", F.when(F.col("n") == 1, F.col("id")).otherwise(made)).drop("n", "last")
     rows = Scratch(spark, "near-stage").table(rows, "rows")
-    first = near_classes(rows.select(F.col("_id").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    return rows.join(first, "_id", "left_semi").select(*names)
+    first = near_classes(rows.select(F.col("id").alias("doc_id"), text.alias("text"))).filter("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    return rows.join(first, "id", "left_semi").select(*plain.columns).toDF(*docs.columns)

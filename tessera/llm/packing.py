@@ -177,4 +177,8 @@ def op5_query(spark, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _packed(docs)
+    """The matrices of all documents, as ``pack`` states: null and empty texts stand in no row, a null id stays null,
+
+    repeated rows are packed each, other columns are left out, an empty table gives none.
+    """
+    return _packed(docs.select("doc_id", "text"))

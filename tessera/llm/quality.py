@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, map_text, numbered
 
 BITS = 18
 #: Labelled rows that the hinge-loss model is fitted on, about; counts cover all labelled rows.
@@ -190,9 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         .select("_text", "_label", key.alias("_key"), (F.pmod(key, F.lit(1_000_000)) < int(share * 1_000_000)).alias("_sampled"))
     )
     stats = Scratch(spark, "quality").table(rows.mapInPandas(_gather("_text", "_label"), _STATS), "stats")
-    sums = stats.filter("kind = 0").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()  # 2 ** BITS rows at most
-    good, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    good[sums["bucket"]], bad[sums["bucket"]] = sums["good"], sums["bad"]
+    sums = stats.filter("kind = 0").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # 2 ** BITS rows at most
+    good, bad, at = np.zeros(1 << BITS), np.zeros(1 << BITS), sums["bucket"].to_numpy()
+    good[at], bad[at] = sums["good"].to_numpy(), sums["bad"].to_numpy()
     sample = stats.filter("kind = 1").select("key", "label", "grams", F.lit(0).alias("one"))
     made = sample.groupBy("one").applyInPandas(lambda pdf: _fitter(good, bad)(pdf), "model binary").first()
     if made is None:
@@ -201,23 +201,22 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(x["r"], x["w"], tuple(x["curve"]))
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` without its text, plus score (0 to 1) and predicted; null and empty texts get the score of no n-grams."""
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
+    """``docs`` without its text (unless ``keep_text``), plus score (0 to 1) and predicted (1 at the threshold and above).
+
+    Null and empty texts get the score of no n-grams; a null id passes like any value; repeated rows are scored each;
+    columns named score or predicted give way; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights and ratios: 2 MB
-    kept = docs.drop("score", "predicted")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text_col] + ["score double", "predicted int"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, found = batch[text_col].tolist(), []
-            for at in range(0, len(texts), 256):
-                found.append(sent.value.score(texts[at : at + 256]))
-            out = batch.drop(columns=[text_col])
-            out["score"] = np.concatenate(found) if found else np.zeros(0)
-            out["predicted"] = (out["score"] >= threshold).astype("int32")
-            yield out
+    def make():
+        def run(texts: list[str | None]) -> dict:
+            scores = sent.value.score(texts)
+            return {"score": scores, "predicted": (scores >= threshold).astype(np.int32)}
 
-    return kept.mapInPandas(run, schema)
+        return run
+
+    return map_text(docs, text_col, make, "score double, predicted int", keep_text=keep_text)
 
 
 def _fold(column: str = "doc_id"):
@@ -230,13 +229,18 @@ def _trained(spark, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
+    """A null doc_id has no fold: its row is scored with a null ``held_out``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score(docs, _trained(spark, docs, sf_dir))
     return scored.select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    names = docs.columns
-    scored = score(docs.withColumn("_scan", F.col("text")), _trained(spark, docs, sf_dir), text_col="_scan")
-    return scored.filter("predicted = 1").select(*names)
+    """Documents that the classifier accepts.
+
+    A null or empty text is judged by the score of no n-grams. Rows with a null id are scored, but teach nothing;
+    repeated rows stay or go together. An empty table gives an empty one. Columns of any name pass through as they are.
+    """
+    plain, new = numbered(docs)
+    scored = score(plain, _trained(spark, docs, sf_dir), text_col=new["text"], keep_text=True)
+    return scored.filter("predicted = 1").select(*plain.columns).toDF(*docs.columns)
