@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Java's \w is ASCII only; this is the Unicode word class.
+#: The Unicode word class (Java's \w is ASCII only), and where sentences end.
 WORD = r"[\p{L}\p{N}_]+"
 _ENDS = r"(?<=[.!?])\s+|[\r\n]+"
 
@@ -49,6 +49,37 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def _slugged(x: Column, bad: str, good: str, ends: str, empty: str) -> Column:
+    """Runs of ``bad`` as ``good``, no ``ends`` at the ends, ``empty`` for what is left without anything."""
+    out = F.regexp_replace(F.regexp_replace(x, bad, good), f"^{ends}+|{ends}+$", "")
+    return F.coalesce(F.nullif(out, F.lit("")), F.lit(empty))
+
+
+def key_slug(text: Column) -> Column:
+    """For file names of documents: ASCII letters, digits, dot, dash and underscore stay."""
+    return _slugged(strip(text), "[^A-Za-z0-9._-]+", "_", "[._]", "item")
+
+
+def name_slug(text: Column) -> Column:
+    """For names of runs: letters and digits of any script stay, every other sign becomes a dash of its own."""
+    return _slugged(strip(text), r"[^\p{L}\p{N}._-]", "-", "[._-]", "item")
+
+
+def table_slug(text: Column) -> Column:
+    """For names of tables: lower case, words joined by single underscores."""
+    return _slugged(F.lower(strip(text)), "[/ _-]+", "_", "_", "unknown")
+
+
+def cache_slug(text: Column) -> Column:
+    """For names of cached vectors: as ``key_slug``, in lower case, dots kept at the ends."""
+    return F.lower(_slugged(text, "[^a-zA-Z0-9._-]+", "_", "_", "default"))
+
+
+def utc_now() -> Column:
+    """The query's start in UTC, in ISO form."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def safe_title(text: Column, limit: int = 120) -> Column:
     return F.substring(strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, limit)
 

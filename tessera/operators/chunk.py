@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,29 +145,40 @@ def single_linkage(distance: np.ndarray, number_of_chunks: int, stop: float) ->
     n = len(distance)
     most = max(1, -(-n // number_of_chunks))
     groups, last = {i: [i] for i in range(n)}, dict.fromkeys(range(n))
-    size, alive, d = np.ones(n, int), np.ones(n, bool), distance.astype(float).copy()
+    size, alive, d = np.ones(n, int), np.ones(n, bool), distance.astype(float)
     allowed = np.where(np.triu(np.ones((n, n), bool), 1) & (most > 1), d, np.inf)
-    while True:
-        a, b = divmod(int(allowed.argmin()), n)
-        if not np.isfinite(allowed[a, b]) or allowed[a, b] > stop:
+    # the least of each row, kept up to date, so that a merge looks at the rows it changes and not at the square
+    at = allowed.argmin(1)
+    best = allowed[np.arange(n), at]
+    while n:
+        a = int(best.argmin())
+        b = int(at[a])
+        if not np.isfinite(best[a]) or best[a] > stop:
             break
-        last[a] = float(allowed[a, b])
+        last[a] = float(best[a])
         groups[a] = sorted(groups[a] + groups.pop(b))
         size[a] += size[b]
         alive[b] = False
         d[a] = np.minimum(d[a], d[b])
         d[:, a] = d[a]
-        allowed[b], allowed[:, b] = np.inf, np.inf
+        allowed[b], allowed[:, b], best[b] = np.inf, np.inf, np.inf
         row = np.where(alive & (size + size[a] <= most), d[a], np.inf)
         allowed[a, a + 1 :], allowed[:a, a] = row[a + 1 :], row[:a]
+        nearer = alive & (np.arange(n) < a) & ((row < best) | ((row == best) & (a < at)))
+        stale = np.flatnonzero(alive & ~nearer & ((at == a) | (at == b) | (np.arange(n) == a)))
+        best[nearer], at[nearer] = row[nearer], a
+        at[stale] = allowed[stale].argmin(1)
+        best[stale] = allowed[stale, at[stale]]
     return [(groups[i], last[i]) for i in sorted(groups)]
 
 
-def density_clusters(distance: np.ndarray, radius: float, least: int) -> list[list[int]]:
-    """Density clusters (a point counts itself; radius inclusive), noise points each by itself, by first member."""
-    n = len(distance)
-    near = distance <= radius
-    core = near.sum(1) >= least
+def density_clusters(row: Callable[[int], np.ndarray], n: int, radius: float, least: int) -> list[list[int]]:
+    """Density clusters (a point counts itself; radius inclusive), noise points each by itself, by first member.
+
+    ``row(i)`` gives the distances of point i. Rows are asked for one at a time and none is kept, so memory grows with
+    the points and not with their square.
+    """
+    core = np.array([int((row(i) <= radius).sum()) >= least for i in range(n)], bool)
     label = np.full(n, -1)
     made = 0
     for i in range(n):
@@ -175,7 +186,7 @@ def density_clusters(distance: np.ndarray, radius: float, least: int) -> list[li
             continue
         label[i], front = made, [i]
         while front:
-            for j in np.flatnonzero(near[front.pop()] & (label < 0)).tolist():
+            for j in np.flatnonzero((row(front.pop()) <= radius) & (label < 0)).tolist():
                 label[j] = made
                 if core[j]:
                     front.append(j)
@@ -184,14 +195,33 @@ def density_clusters(distance: np.ndarray, radius: float, least: int) -> list[li
     return sorted(groups)
 
 
-def joint_distances(vectors: np.ndarray, weight: float) -> np.ndarray:
+def joint_rows(vectors: np.ndarray, weight: float) -> Callable[[int], np.ndarray]:
+    """Row i of the joint distances of positions and meanings."""
     n = len(vectors)
     size = np.linalg.norm(vectors, axis=1)
-    unit = vectors / np.where(size == 0, 1, size)[:, None]
-    meaning = 1 - np.clip(unit @ unit.T, 0, 1)
-    np.fill_diagonal(meaning, 0)
-    at = np.arange(n)
-    return weight * np.abs(at[:, None] - at[None, :]) / n + (1 - weight) * meaning
+    unit, at = vectors / np.where(size == 0, 1, size)[:, None], np.arange(n)
+
+    def row(i: int) -> np.ndarray:
+        meaning = 1 - np.clip(unit @ unit[i], 0, 1)
+        meaning[i] = 0
+        return weight * np.abs(at - i) / n + (1 - weight) * meaning
+
+    return row
+
+
+def joint_distances(vectors: np.ndarray, weight: float) -> np.ndarray:
+    row = joint_rows(vectors, weight)
+    return np.stack([row(i) for i in range(len(vectors))])
+
+
+def check_clustering(weight: float = 0.25, number_of_chunks: int = 5, stop: float = 0.5, radius: float = 0.2, least: int = 2) -> None:
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 1
+    if not 0 <= weight <= 1:
+        raise ValueError("weight must lie between 0 and 1")
+    if not whole(number_of_chunks) or not whole(least):
+        raise ValueError("number_of_chunks and least must be positive whole numbers")
+    if stop < 0 or radius <= 0:
+        raise ValueError("stop must not be negative, radius must be positive")
 
 
 CLUSTER_SCHEMA = "position int, sentence_indices array<int>, cluster_distance double, cluster_origin string, is_contiguous boolean"
@@ -200,11 +230,13 @@ CLUSTER_SCHEMA = "position int, sentence_indices array<int>, cluster_distance do
 def cluster_chunks(docs: DataFrame, *, method: str, weight: float = 0.25, number_of_chunks: int = 5, stop: float = 0.5, radius: float = 0.2, least: int = 2, id_col: str = "doc_id", vectors_col: str = "vectors") -> DataFrame:
     """(id, position, sentence_indices, …) by single linkage or by density.
 
-    The vectors of a document stand in one row, so rows are clustered where they lie; no shuffle. A document's
-    distances are a square of its sentences: only these two strategies need that.
+    The vectors of a document stand in one row, so rows are clustered where they lie; no shuffle. Density works on one
+    row of distances at a time; linkage holds the square of a document's sentences. The origin is singleton for a
+    document of one sentence, else the method.
     """
     if method not in ("single_linkage", "dbscan"):
         raise ValueError(method)
+    check_clustering(weight, number_of_chunks, stop, radius, least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,15 +244,23 @@ def cluster_chunks(docs: DataFrame, *, method: str, weight: float = 0.25, number
             for doc, vectors in zip(batch[id_col], batch[vectors_col], strict=True):
                 if len(vectors) == 0:
                     continue
-                d = joint_distances(np.stack(vectors).astype(float), weight)
-                if len(d) == 1:
+                v = np.stack(vectors).astype(float)
+                if len(v) == 1:
                     found = [([0], None, "singleton")]
                 elif method == "dbscan":
-                    found = [(g, None, "cluster" if len(g) > 1 else "noise") for g in density_clusters(d, radius, least)]
+                    found = [(g, None, method) for g in density_clusters(joint_rows(v, weight), len(v), radius, least)]
                 else:
-                    found = [(g, x, "single_linkage" if len(g) > 1 else "singleton") for g, x in single_linkage(d, number_of_chunks, stop)]
+                    found = [(g, x, method) for g, x in single_linkage(joint_distances(v, weight), number_of_chunks, stop)]
                 rows += [(doc, i, g, x, o, g[-1] - g[0] + 1 == len(g)) for i, (g, x, o) in enumerate(found)]
             yield pd.DataFrame(rows, columns=[id_col, *[c.split()[0] for c in CLUSTER_SCHEMA.split(", ")]])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, vectors_col).mapInPandas(run, f"{id_col} {kind}, {CLUSTER_SCHEMA}")
+
+
+def cluster_texts(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """What ``cluster_chunks`` gives, with chunk_id, sentences and text; ``docs`` also has ``sentences``."""
+    groups = cluster_chunks(docs, id_col=id_col, **options)
+    own = groups.join(docs.select(id_col, F.col("sentences").alias("_all")), id_col)
+    own = own.withColumn("sentences", F.transform("sentence_indices", lambda i: F.get(F.col("_all"), i))).drop("_all")
+    return own.withColumns({"text": T.join_sentences(F.col("sentences")), "chunk_id": F.concat(F.col(id_col).cast("string"), F.lit("::chunk_"), F.col("position").cast("string"))})

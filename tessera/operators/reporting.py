@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.split import with_running_start
+
 #: The first of these marks in a run's name decides its method.
 METHOD_MARKS = (
-    ("DBSCAN", "clustering", "dbscan"),
-    ("SLINK", "clustering", "single_linkage"),
-    ("SINGLE_LINKAGE", "clustering", "single_linkage"),
+    ("DBSCAN", "clustering", "clustering_dbscan"),
+    ("SLINK", "clustering", "clustering_single_linkage"),
+    ("SINGLE_LINKAGE", "clustering", "clustering_single_linkage"),
     ("FIXED", "fixed", "fixed"),
-    ("BREAK", "breakpoint", "breakpoint"),
-    ("CLUSTER", "clustering", "clustering"),
+    ("BREAK", "semantic_breakpoint", "semantic_breakpoint"),
+    ("CLUSTER", "clustering", "clustering_unknown"),
 )
 SKIPPED = ("skipped", "failed", "interrupted")
 
@@ -20,7 +22,7 @@ SKIPPED = ("skipped", "failed", "interrupted")
 def infer_method(stem: Column, chunking: Column) -> Column:
     """(macro, variant) by the first mark in name and chunking; else the chunking itself, or unknown."""
     hint = F.upper(F.concat_ws(" ", stem, chunking))
-    own = F.coalesce(F.nullif(F.trim(chunking), F.lit("")), F.lit("unknown"))
+    own = F.coalesce(F.nullif(F.lower(F.trim(chunking)), F.lit("")), F.lit("unknown"))
     out = F.struct(own.alias("macro"), own.alias("variant"))
     for mark, macro, variant in reversed(METHOD_MARKS):
         out = F.when(F.instr(hint, mark) > 0, F.struct(F.lit(macro).alias("macro"), F.lit(variant).alias("variant"))).otherwise(out)
@@ -49,8 +51,11 @@ def best_per_method(wide: DataFrame, method: str, run: str, metrics: list[str])
 
 
 def box_stats(rows: DataFrame, method: str, value: str) -> DataFrame:
-    """Five numbers and the count by method; clustering variants also pooled as clustering_all."""
-    pooled = rows.filter(F.col(method).isin("dbscan", "single_linkage", "clustering")).withColumn(method, F.lit("clustering_all"))
+    """Five numbers and the count by method; clustering variants also pooled as clustering_all.
+
+    Exact percentiles hold a method's values in one task: meant for results of runs, not for documents.
+    """
+    pooled = rows.filter(F.col(method).startswith("clustering_")).withColumn(method, F.lit("clustering_all"))
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     both = rows.select(method, value).union(pooled.select(method, value))
     return both.groupBy(method).agg(F.min(value).alias("low"), q.alias("_q"), F.max(value).alias("high"), F.count(value).alias("n")).select(
@@ -80,9 +85,36 @@ def merge_lists(rows: DataFrame, keys: list[str], order: str, value: str) -> Dat
 
 
 def running_mean(rows: DataFrame, order: str, value: str, window: int) -> DataFrame:
-    """(window, n, total, mean): sums after each window of ``window`` ids, as a stream over them would have."""
-    from pyspark.sql import Window
+    """(window, n, total, mean): sums after each window of ``window`` ids, as a stream over them would have.
+
+    No window function runs over all rows: windows are summed within blocks of them, and blocks' sums are added.
+    """
+    sums = rows.groupBy(F.floor(F.col(order) / window).alias("window")).agg(F.count(value).alias("_own_n"), F.sum(value).cast("long").alias("_own_t"))
+    counted = with_running_start(sums, F.col("_own_n"), "window", "_before_n")
+    both = with_running_start(counted, F.col("_own_t"), "window", "_before_t")
+    done = both.select("window", (F.col("_before_n") + F.col("_own_n")).alias("n"), (F.col("_before_t") + F.col("_own_t")).alias("total"))
+    return done.withColumn("mean", F.col("total") / F.col("n"))
+
+
+def coverage(rows: DataFrame, value: str) -> DataFrame:
+    """(n, filled): rows, and those whose ``value`` (a text or an array of texts) is not empty."""
+    array = dict(rows.dtypes)[value].startswith("array")
+    filled = F.size(F.filter(value, lambda x: F.trim(x) != "")) > 0 if array else F.trim(value) != ""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(filled).alias("filled"))
+
+
+def write_intrinsic(per_document: DataFrame, names: list[str], path: str) -> None:
+    """Scores by document and over all of them, as JSON under ``documents`` and ``global``."""
+    from tessera.operators.intrinsic import global_stats
+
+    per_document.write.mode("overwrite").json(f"{path}/documents")
+    global_stats(per_document, names).write.mode("overwrite").json(f"{path}/global")
+
 
-    sums = rows.groupBy(F.floor(F.col(order) / window).alias("window")).agg(F.count(value).alias("_n"), F.sum(value).alias("_t"))
-    run = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, 0)  # one row a window of documents
-    return sums.select("window", F.sum("_n").over(run).alias("n"), F.sum("_t").over(run).alias("total")).withColumn("mean", F.col("total") / F.col("n"))
+def write_summary(wide: DataFrame, best: DataFrame, path: str) -> None:
+    """All runs, the best by method, and a manifest of both, as CSV."""
+    spark = wide.sparkSession
+    for name, rows in (("all_runs", wide), ("best_per_method", best)):
+        rows.write.mode("overwrite").csv(f"{path}/{name}", header=True)
+    listed = [(name, f"{path}/{name}", spark.read.csv(f"{path}/{name}", header=True).count()) for name in ("all_runs", "best_per_method")]
+    spark.createDataFrame(listed, "name string, path string, n_rows long").write.mode("overwrite").csv(f"{path}/manifest", header=True)

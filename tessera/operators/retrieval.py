@@ -9,19 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries sent to the tasks at once: with 1,000 dimensions some 16 MB. More queries make more passes.
+#: Up to so many queries are sent to all tasks (16 MB with 1,000 dimensions); more are dealt to tasks in such blocks.
 BLOCK = 2048
+#: Items of a task that holds them against one block of queries.
+ITEMS = 100_000
 #: Scores are ranked as rounded here, so that equal vectors tie whatever the order of summation; ties go by id.
 DIGITS = 9
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[pd.DataFrame]:
-    parts = -(-queries.count() // block)
-    for i in range(parts):
-        rows = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        yield rows.toPandas()
-
-
 def _best(queries: pd.DataFrame, k: int, metric: str):
     ids = queries["query_id"].to_numpy()
     q = np.stack([np.asarray(v, float) for v in queries["query_vector"]]) if len(queries) else np.zeros((0, 0))
@@ -54,18 +49,23 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosi
     """(query_id, rank, item_id, score): the exact best k; ``metric`` cosine or l2 (score: minus squared distance).
 
     ``items`` has item_id (long) and vector, ``queries`` query_id (long) and query_vector. Each task keeps the best
-    k of what it reads, block of queries by block, and only those are shuffled. Ties go to the lesser id.
+    k of what it reads, and only those are shuffled. Up to ``block`` queries go to every task; with more, blocks of
+    queries and parts of the items are dealt to tasks, each pair of them to one. Ties go to the lesser id.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(metric)
     want = k if keep_self else k + 1
-    items = items.select("item_id", "vector")
-    parts = [items.mapInPandas(_best(q, want, metric), "query_id long, item_id long, score double") for q in _blocks(queries.select("query_id", "query_vector"), block)]
-    if not parts:
-        return items.limit(0).select(F.col("item_id").alias("query_id"), F.lit(0).alias("rank"), "item_id", F.lit(0.0).alias("score"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.union(p)
+    items, queries, hit = items.select("item_id", "vector"), queries.select("query_id", "query_vector"), "query_id long, item_id long, score double"
+    n = queries.count()
+    if n <= block:
+        hits = items.mapInPandas(_best(queries.toPandas(), want, metric), hit)
+    else:
+        blocks, parts = -(-n // block), max(1, -(-items.count() // ITEMS))
+        each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+        q = queries.withColumns({"_b": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "_p": each(parts)})
+        i = items.withColumns({"_p": F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"), "_b": each(blocks)})
+        pair = lambda own, other: pd.concat(list(_best(own, want, metric)(iter([other]))) or [pd.DataFrame(columns=["query_id", "item_id", "score"])])
+        hits = q.groupBy("_b", "_p").cogroup(i.groupBy("_b", "_p")).applyInPandas(pair, hit)
     if not keep_self:
         hits = hits.filter("query_id <> item_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")

@@ -65,3 +65,26 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in (*keys, order)]
     found = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"), F.min(order).alias(order))
     return found.select(*keys, order, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def unit_faults(units: DataFrame) -> DataFrame:
+    """(fault, n): split units (doc_id, sentence_idx, text) that break a rule; no rows when all is well."""
+    rules = {
+        "doc_id is missing or blank": F.coalesce(F.trim(F.col("doc_id").cast("string")), F.lit("")) == "",
+        "sentence_idx is missing or negative": F.coalesce(F.col("sentence_idx"), F.lit(-1)) < 0,
+        "text is missing": F.col("text").isNull(),
+    }
+    found = F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))
+    return units.select(F.explode(found).alias("fault")).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def valid_units(units: DataFrame) -> DataFrame:
+    """``units`` if they keep the rules; else an error that names the broken ones. Only counts reach the driver."""
+    if found := unit_faults(units).collect():  # three rows at most
+        raise ValueError("; ".join(f"{r.fault}: {r.n}" for r in sorted(found)))
+    return units
+
+
+def first_documents(docs: DataFrame, limit: int, order: str = "doc_id") -> DataFrame:
+    """The first ``limit`` rows in ``order``: a cap for trial runs, asked for by name."""
+    return docs.orderBy(order).limit(limit)

@@ -1,32 +1,35 @@
-"""An experiment: corpus, chunking, embedding, retrieval and scores as one lazy plan, stages kept by fingerprint."""
+"""An experiment: corpus, chunking, embedding, retrieval and scores as one lazy plan, stages kept by what they depend on."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.functions import text as T
-from tessera.functions import vectors as V
-from tessera.operators import chunk as C
+from tessera.operators import answers as A
 from tessera.operators import retrieval as N
 from tessera.operators import split as S
+from tessera.plans import plugs
 from tessera.sources.corpora import Corpus
 
+TASKS = ("document_retrieval", "evidence_retrieval", "answers")
+SCHEMA_VERSION = 1
+
 
 @dataclass(frozen=True)
 class Chunking:
-    """strategy: fixed, breakpoint, single_linkage or dbscan; ``options`` go to it."""
+    """A registered chunker; ``options`` go to it."""
 
     strategy: str = "fixed"
     options: dict = field(default_factory=lambda: {"n_chunks": 5})
 
     def __post_init__(self):
-        if self.strategy not in ("fixed", "breakpoint", "single_linkage", "dbscan"):
-            raise ValueError(f"unknown strategy {self.strategy!r}")
+        plugs.get("chunker", self.strategy, **self.options)
 
 
 @dataclass(frozen=True)
@@ -35,14 +38,33 @@ class Experiment:
     dimensions: int = 32
     metric: str = "cosine"
     ks: tuple[int, ...] = (1, 3, 5, 10)
+    splitter: str = "sentence"
+    router: str = "default"
+    embedder: str = "hashed"
+    retriever: str = "exact"
+    instruction: str | None = None
+    tasks: tuple[str, ...] = ("document_retrieval",)
 
     def __post_init__(self):
         if not self.ks or any(isinstance(k, bool) or not isinstance(k, int) or k < 1 for k in self.ks):
             raise ValueError("ks must be positive whole numbers")
+        if not self.tasks or set(self.tasks) - set(TASKS):
+            raise ValueError(f"tasks must be some of {TASKS}")
+        for kind in ("splitter", "router", "embedder", "retriever"):
+            if getattr(self, kind) not in plugs.names(kind):
+                raise ValueError(f"unknown {kind} {getattr(self, kind)!r}; one of {plugs.names(kind)}")
+
+    def manifest(self, corpus: Corpus) -> dict:
+        """What the kept chunks and vectors depend on, the corpus included; ks and tasks are no part of it."""
+        whole = asdict(self)
+        return {"schema_version": SCHEMA_VERSION, "corpus": corpus.digest} | {k: whole[k] for k in ("chunking", "dimensions", "metric", "splitter", "router", "embedder", "retriever", "instruction")}
+
+    def embed(self, text):
+        return plugs.get("embedder", self.embedder, dimensions=self.dimensions)(text)
 
-    @property
-    def fingerprint(self) -> str:
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
+
+def fingerprint(manifest: dict) -> str:
+    return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()[:16]
 
 
 def merge(base: dict, over: dict) -> dict:
@@ -57,51 +79,115 @@ def from_config(config: dict) -> Experiment:
     """A nested mapping (say, a YAML file's) to an experiment; what it lacks is as in ``Experiment``."""
     c = dict(config.get("chunking", {}))
     chunking = Chunking(c.pop("strategy", "fixed"), c or {"n_chunks": 5})
-    rest = {"dimensions": config.get("embedding", {}).get("dimensions"), "metric": config.get("retrieval", {}).get("distance"), "ks": config.get("evaluation", {}).get("ks")}
-    rest = {k: tuple(sorted(set(v))) if k == "ks" else v for k, v in rest.items() if v is not None}
+    at = lambda section, key: config.get(section, {}).get(key)
+    rest = {
+        "dimensions": at("embedding", "dimensions"),
+        "embedder": at("embedding", "name"),
+        "instruction": at("embedding", "instruction"),
+        "metric": at("retrieval", "distance"),
+        "retriever": at("retrieval", "name"),
+        "splitter": at("split", "name"),
+        "router": at("router", "name"),
+        "ks": at("evaluation", "ks"),
+        "tasks": at("evaluation", "tasks"),
+    }
+    rest = {k: tuple(sorted(set(v))) if k == "ks" else tuple(v) if k == "tasks" else v for k, v in rest.items() if v is not None}
     return Experiment(chunking, **rest)
 
 
-def embed(rows: DataFrame, text_col: str, out: str, dimensions: int) -> DataFrame:
-    return rows.withColumn("_tokens", T.words(F.col(text_col))).withColumn(out, V.hashed_counts(F.col("_tokens"), dimensions)).drop("_tokens")
+def read_config(*paths: str) -> dict:
+    """YAML profiles, each laid over those before it."""
+    import yaml
+
+    out: dict = {}
+    for path in paths:
+        with open(path) as f:
+            out = merge(out, yaml.safe_load(f) or {})
+    return out
 
 
-def chunk_documents(docs: DataFrame, chunking: Chunking, dimensions: int) -> DataFrame:
+def chunk_documents(docs: DataFrame, experiment: Experiment) -> DataFrame:
     """(doc_id, position, chunk_id, text)."""
-    rows = S.with_sentences(S.drop_blank(docs))
-    if chunking.strategy == "fixed":
-        return C.explode_chunks(rows, C.fixed_chunks(F.col("sentences"), **chunking.options)).select("doc_id", "position", "chunk_id", "text")
-    rows = rows.withColumn("vectors", F.transform("sentences", lambda s: V.hashed_counts(T.words(s), dimensions)))
-    if chunking.strategy == "breakpoint":
-        rule = C.Breakpoints(**chunking.options)
-        made = C.with_breaks(rows, rule)
-        return C.explode_chunks(made, C.breakpoint_chunks(F.col("sentences"), F.col("breaks"), rule.min_chunk_size)).select("doc_id", "position", "chunk_id", "text")
-    groups = C.cluster_chunks(rows, method=chunking.strategy, **chunking.options)
-    own = groups.join(rows.select("doc_id", "sentences"), "doc_id")
-    text = T.join_sentences(F.transform("sentence_indices", lambda i: F.get(F.col("sentences"), i)))
-    return own.select("doc_id", "position", F.concat(F.col("doc_id").cast("string"), F.lit("::chunk_"), F.col("position").cast("string")).alias("chunk_id"), text.alias("text"))
-
-
-def kept(spark: SparkSession, path: str | None, make) -> DataFrame:
-    """The table at ``path`` if it is complete, else what ``make`` gives, written there first."""
+    routed = plugs.get("router", experiment.router)(S.drop_blank(docs))
+    split = plugs.get("splitter", experiment.splitter)
+    rows = routed.withColumn("sentences", split(F.col("text"))).filter("size(sentences) > 0").withColumn("vectors", F.transform("sentences", experiment.embed))
+    return plugs.get("chunker", experiment.chunking.strategy, **experiment.chunking.options)(rows)
+
+
+def kept(spark: SparkSession, path: str | None, manifest: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path`` if its manifest is the same and it has as many rows as that says, else what ``make`` gives, written there."""
     if path is None:
         return make()
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-manifest/_SUCCESS")
+    want = json.dumps(manifest, sort_keys=True)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        found = spark.read.json(f"{path}-manifest").first()
+        if found and found.manifest == want:
+            rows = spark.read.schema(StructType.fromJson(json.loads(found.schema))).parquet(path)
+            if rows.count() == found.n_rows:
+                return rows
+    make().write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    spark.createDataFrame([(want, rows.schema.json(), rows.count())], "manifest string, schema string, n_rows long").coalesce(1).write.mode("overwrite").json(f"{path}-manifest")
+    return rows
+
+
+def _searched(index: DataFrame, queries: DataFrame, experiment: Experiment) -> DataFrame:
+    """Hits (query_id, rank, item_id, score) of the queries' texts."""
+    text = plugs.prefixed(F.col("query"), experiment.instruction)
+    asked = queries.select(F.xxhash64("query_id").alias("qid"), "query_id", experiment.embed(text).alias("query_vector"))
+    retrieve = plugs.get("retriever", experiment.retriever, metric=experiment.metric)
+    hits = retrieve(index, asked.select(F.col("qid").alias("query_id"), "query_vector"), max(experiment.ks))
+    return hits.withColumnRenamed("query_id", "qid").join(asked.select("qid", "query_id"), "qid").drop("qid")
 
 
 def run(spark: SparkSession, corpus: Corpus, experiment: Experiment, stages: str | None = None) -> dict[str, DataFrame]:
-    """chunks, index, ranked documents, and macro metrics at each k; stages are reused under ``stages``."""
-    root = f"{stages}/{experiment.fingerprint}" if stages else None
-    chunks = kept(spark, root and f"{root}/chunks", lambda: chunk_documents(corpus.documents, experiment.chunking, experiment.dimensions))
-    item = F.xxhash64("chunk_id").alias("item_id")
-    index = kept(spark, root and f"{root}/index", lambda: embed(chunks.filter("trim(text) <> ''"), "text", "vector", experiment.dimensions).select(item, "chunk_id", "doc_id", "vector"))
-    judged = N.judged_queries(corpus.queries, corpus.qrels)
-    asked = embed(judged, "query", "query_vector", experiment.dimensions).select(F.xxhash64("query_id").alias("qid"), "query_id", "query_vector")
-    hits = N.nearest(index, asked.select(F.col("qid").alias("query_id"), "query_vector"), max(experiment.ks), metric=experiment.metric)
-    named = hits.withColumnRenamed("query_id", "qid").join(asked.select("qid", "query_id"), "qid").drop("qid")
-    ranked = N.roll_up(named, index.select("item_id", "doc_id"))
-    gold = N.positive_qrels(corpus.qrels)
-    return {"chunks": chunks, "index": index, "ranked": ranked, "metrics": N.macro_metrics(N.query_metrics(ranked, gold, experiment.ks))}
+    """chunks and index, and what each task gives; chunks and index are kept under ``stages`` and used again.
+
+    They are used again only for a corpus of the same content and the same settings. document_retrieval gives ranked
+    (documents) and metrics, evidence_retrieval evidence (macro scores at each k), answers answers and
+    qa_similarity. A task whose table the corpus lacks is an error.
+    """
+    manifest = experiment.manifest(corpus) if stages else {}
+    root = f"{stages}/{fingerprint(manifest)}" if stages else None
+    chunks = kept(spark, root and f"{root}/chunks", manifest, lambda: chunk_documents(corpus.documents, experiment))
+    vector = experiment.embed(F.col("text")).alias("vector")
+    index = kept(spark, root and f"{root}/index", manifest, lambda: chunks.filter("trim(text) <> ''").select(F.xxhash64("chunk_id").alias("item_id"), "chunk_id", "doc_id", vector))
+    out = {"chunks": chunks, "index": index}
+    for task in experiment.tasks:
+        out |= _TASKS[task](corpus, experiment, chunks, index)
+    return out
+
+
+def _document_retrieval(corpus: Corpus, experiment: Experiment, chunks: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
+    hits = _searched(index, N.judged_queries(corpus.queries, corpus.qrels), experiment)
+    ranked = N.roll_up(hits, index.select("item_id", "doc_id"))
+    return {"ranked": ranked, "metrics": N.macro_metrics(N.query_metrics(ranked, N.positive_qrels(corpus.qrels), experiment.ks))}
+
+
+def _found(queries: DataFrame, experiment: Experiment, chunks: DataFrame, index: DataFrame) -> DataFrame:
+    hits = _searched(index, queries, experiment).join(index.select("item_id", "chunk_id"), "item_id")
+    return A.retrieved_chunks(hits, chunks)
+
+
+def _evidence_retrieval(corpus: Corpus, experiment: Experiment, chunks: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
+    if corpus.evidences is None:
+        raise ValueError("the corpus has no evidences")
+    gold = corpus.evidences.select("query_id", "evidence").filter("trim(evidence) <> ''")
+    found = _found(N.judged_queries(corpus.queries, gold), experiment, chunks, index)
+    each = [A.macro_evidence(A.evidence_scores(found.filter(F.col("rank") <= k), gold)).withColumn("k", F.lit(k)) for k in experiment.ks]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return {"evidence": out}
+
+
+def _answers(corpus: Corpus, experiment: Experiment, chunks: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
+    if corpus.answers is None:
+        raise ValueError("the corpus has no answers")
+    queries = N.judged_queries(corpus.queries, A.answerable(corpus.answers))
+    made = A.extractive_answers(queries, _found(queries, experiment, chunks, index))
+    return {"answers": made, "qa_similarity": A.answer_similarity(queries, made, experiment.embed)}
+
+
+_TASKS = {"document_retrieval": _document_retrieval, "evidence_retrieval": _evidence_retrieval, "answers": _answers}

@@ -260,13 +260,29 @@ for _n, (_kind, _amount, _c, _thr) in _THRESHOLDS.items():
     )(lambda spark, d, k=_kind, a=_amount: C.explode_rows(C.with_breaks(_embedded(spark, d), C.Breakpoints(k, a)), "breaks", "_at", "break_after").select("doc_id", "break_after"))
 
 
-@query("breakpoint_min_size")
+_SEGMENTS = f"""{SVECS}, t AS (SELECT doc_id, quantile_cont(d, 0.3) AS t FROM dist GROUP BY 1), sz AS (SELECT doc_id, s, len(s) AS n FROM ({SENTS}) WHERE len(s) > 0),
+ seg AS (SELECT doc_id, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS k FROM (SELECT doc_id, i + 1 AS e FROM dist JOIN t USING (doc_id) WHERE d > t UNION SELECT doc_id, n FROM sz))"""
+
+
+@query(
+    "breakpoint_min_size",
+    f"""WITH RECURSIVE {_SEGMENTS}, r AS (SELECT doc_id, n, s, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS own, false AS made, CAST(0 AS BIGINT) AS e FROM sz
+ UNION ALL SELECT r.doc_id, n, s, g.k, CASE WHEN g.e = n OR len(array_to_string(s[r.start + 1 : g.e], ' ')) >= 400 THEN g.e ELSE r.start END, r.start, g.e = n OR len(array_to_string(s[r.start + 1 : g.e], ' ')) >= 400, g.e FROM r JOIN seg g ON g.doc_id = r.doc_id AND g.k = r.k + 1),
+ c AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS position, own, e, s FROM r WHERE made)
+ SELECT doc_id, position, doc_id || '::chunk_' || position AS chunk_id, CAST(own AS INTEGER) AS start_sentence_idx, CAST(e - 1 AS INTEGER) AS end_sentence_idx, array_to_string(s[own + 1 : e], ' ') AS text FROM c""",
+)
 def _(spark, d):
     rows = C.with_breaks(_embedded(spark, d), C.Breakpoints("percentile", 30.0))
     return C.explode_chunks(rows, C.breakpoint_chunks(F.col("sentences"), F.col("breaks"), 400)).select("doc_id", "position", "chunk_id", "start_sentence_idx", "end_sentence_idx", "text")
 
 
-@query("breakpoint_by_count")
+@query(
+    "breakpoint_by_count",
+    f"""WITH {SVECS}, l AS (SELECT doc_id, list_sort(list(d)) AS ds, count(*) AS n FROM dist GROUP BY 1), w AS (SELECT doc_id, ds, n, (n - 1) * CASE WHEN n > 1 THEN 1.0::DOUBLE - (least(5, n) - 1)::DOUBLE / (n - 1) ELSE 1.0::DOUBLE END AS pos FROM l),
+ t AS (SELECT doc_id, ds[floor(pos)::INTEGER + 1] + (ds[ceil(pos)::INTEGER + 1] - ds[floor(pos)::INTEGER + 1]) * (pos - floor(pos)) AS t FROM w),
+ e AS (SELECT doc_id, i + 1 AS e FROM dist JOIN t USING (doc_id) WHERE d > t UNION SELECT doc_id, len(s) FROM ({SENTS}) WHERE len(s) > 0)
+ SELECT doc_id, CAST(row_number() OVER o - 1 AS INTEGER) AS position, CAST(coalesce(lag(e) OVER o, 0) AS INTEGER) AS start_sentence_idx, CAST(e - 1 AS INTEGER) AS end_sentence_idx FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY e)""",
+)
 def _(spark, d):
     rows = C.with_breaks(_embedded(spark, d), C.Breakpoints("percentile", number_of_chunks=5))
     return C.explode_chunks(rows, C.breakpoint_chunks(F.col("sentences"), F.col("breaks"))).select("doc_id", "position", "start_sentence_idx", "end_sentence_idx")
@@ -436,8 +452,8 @@ def _runs(spark, d) -> DataFrame:
     )
 
 
-_RUNS = f"""SELECT event_id, stem, chunking, status, k, f1, CASE WHEN mark IN ('DBSCAN','SLINK','CLUSTER') THEN 'clustering' WHEN mark = 'FIXED' THEN 'fixed' WHEN mark = 'BREAK' THEN 'breakpoint' ELSE chunking END AS macro,
- CASE mark WHEN 'DBSCAN' THEN 'dbscan' WHEN 'SLINK' THEN 'single_linkage' WHEN 'CLUSTER' THEN 'clustering' WHEN 'FIXED' THEN 'fixed' WHEN 'BREAK' THEN 'breakpoint' ELSE chunking END AS variant
+_RUNS = f"""SELECT event_id, stem, chunking, status, k, f1, CASE WHEN mark IN ('DBSCAN','SLINK','CLUSTER') THEN 'clustering' WHEN mark = 'FIXED' THEN 'fixed' WHEN mark = 'BREAK' THEN 'semantic_breakpoint' ELSE chunking END AS macro,
+ CASE mark WHEN 'DBSCAN' THEN 'clustering_dbscan' WHEN 'SLINK' THEN 'clustering_single_linkage' WHEN 'CLUSTER' THEN 'clustering_unknown' WHEN 'FIXED' THEN 'fixed' WHEN 'BREAK' THEN 'semantic_breakpoint' ELSE chunking END AS variant
  FROM (SELECT event_id, event_type AS chunking, value AS f1, {_MARKS}[user_id % 6 + 1] AS mark, event_type || '_' || {_MARKS}[user_id % 6 + 1] || '_' || user_id AS stem, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'partial' ELSE '' END AS status, [1, 3, 5, 10][event_id % 4 + 1] AS k FROM events)"""
 
 
@@ -475,7 +491,7 @@ def _(spark, d):
 
 @query(
     "boxplot_stats",
-    f"WITH r AS (SELECT variant, f1 FROM ({_RUNS}) WHERE status <> 'failed'), b AS (SELECT * FROM r UNION ALL SELECT 'clustering_all', f1 FROM r WHERE variant IN ('dbscan', 'single_linkage', 'clustering')) SELECT variant, round(min(f1), 6) AS low, round(quantile_cont(f1, 0.25), 6) AS q1, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.75), 6) AS q3, round(max(f1), 6) AS high, count(f1) AS n FROM b GROUP BY 1",
+    f"WITH r AS (SELECT variant, f1 FROM ({_RUNS}) WHERE status <> 'failed'), b AS (SELECT * FROM r UNION ALL SELECT 'clustering_all', f1 FROM r WHERE starts_with(variant, 'clustering_')) SELECT variant, round(min(f1), 6) AS low, round(quantile_cont(f1, 0.25), 6) AS q1, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.75), 6) AS q3, round(max(f1), 6) AS high, count(f1) AS n FROM b GROUP BY 1",
 )
 def _(spark, d):
     return R.box_stats(R.usable(_runs(spark, d)), "variant", "f1").select("variant", *_r("low", "q1", "median", "q3", "high"), "n")

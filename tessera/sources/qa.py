@@ -55,6 +55,22 @@ def flat_papers(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.lit("").alias("title"), F.col("context").alias("abstract"), none.alias("full_text"), qa.alias("qas"))
 
 
+def as_papers(rows: DataFrame) -> DataFrame:
+    """Rows of any of three shapes in the one that ``papers`` takes.
+
+    Sections and questions may be arrays of structs, structs of parallel arrays, or flat columns.
+    """
+    if "questions" in rows.columns:
+        return flat_papers(rows)
+    types = dict(rows.dtypes)
+    if types["full_text"].startswith("struct"):
+        rows = rows.withColumn("full_text", F.arrays_zip(F.col("full_text.section_name").alias("section_name"), F.col("full_text.paragraphs").alias("paragraphs")))
+    if types["qas"].startswith("struct"):
+        z = F.arrays_zip(F.col("qas.question").alias("question"), F.col("qas.answers").alias("answers"), F.col("qas.evidence").alias("evidence"))
+        rows = rows.withColumn("qas", z)
+    return rows
+
+
 def inline_contexts(rows: DataFrame, limit: int = 900_000) -> dict[str, DataFrame]:
     """Rows query_id, question, contexts, answer: documents get their content's hash as id; equal ones are one."""
     each = rows.select("query_id", F.explode(distinct_texts(F.col("contexts"))).alias("text")).select("query_id", F.substring("text", 1, limit).alias("text"))

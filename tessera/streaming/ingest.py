@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import vectors as V
 from tessera.operators import chunk as C
 from tessera.operators import intrinsic as I
 from tessera.operators import split as S
+from tessera.plans import plugs
 
 DOCUMENT = "doc_id long, text string"
 
@@ -18,28 +20,66 @@ def measure(docs: DataFrame, n_chunks: int = 5) -> DataFrame:
     return rows.select("doc_id", F.size("sentences").alias("num_sentences"), F.size("chunks").alias("num_chunks"), I.boundary_clarity(F.col("sets")).alias("boundary_clarity"))
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, *, files_per_window: int = 1, n_chunks: int = 5, drain: bool = True) -> int:
+def lay_out(docs: DataFrame, path: str, docs_per_window: int) -> None:
+    """Writes documents, in order of id, as one file for every ``docs_per_window`` of them, for ``ingest`` to read."""
+    if isinstance(docs_per_window, bool) or docs_per_window < 1:
+        raise ValueError("docs_per_window must be a positive whole number")
+    numbered = S.with_running_start(docs.select("doc_id", "text"), F.lit(1), out="_ord")
+    windows = numbered.select("doc_id", "text", F.floor(F.col("_ord") / docs_per_window).alias("window"))
+    windows.repartition("window").write.mode("append").partitionBy("window").parquet(path)
+
+
+def embedded(chunks: DataFrame, embedder: str = "hashed", **options) -> DataFrame:
+    """(chunk_id, doc_id, vector) of chunks with text."""
+    return chunks.filter("trim(text) <> ''").select("chunk_id", "doc_id", plugs.get("embedder", embedder, **options)(F.col("text")).alias("vector"))
+
+
+def append_index(items: DataFrame, path: str, batch: int) -> None:
+    """Adds a batch of vectors to an index; a batch that is added again replaces its rows. One length of vector only."""
+    spark = items.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = items.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if new[0] != new[1]:
+        raise ValueError(f"vectors of {new[0]} and {new[1]} in one batch")
+    if new[0] is not None and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        old = spark.read.parquet(path).filter(F.col("batch") != batch).select(F.size("vector").alias("n")).first()
+        if old and old.n != new[0]:
+            raise ValueError(f"the index has vectors of {old.n}, the batch of {new[0]}")
+    items.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, *, files_per_window: int = 1, n_chunks: int = 5, drain: bool = True, index: bool = False) -> int:
     """Reads new files under ``source`` window by window; returns how many windows this call made.
 
-    Each window overwrites its own folders under ``target`` (chunks, metrics), named by its number: a window that
-    is run again after a failure replaces its rows, so nothing is doubled. ``drain`` takes all that is there, else
-    one window is run. The next call goes on where the checkpoint says.
+    Each window overwrites its own folders under ``target`` (chunks, metrics and, with ``index``, vectors), named by
+    its number: a window that is run again after a failure replaces its rows, so nothing is doubled. ``drain`` takes
+    all that is there, else one window is run. The next call goes on where the checkpoint says. With files as
+    ``lay_out`` makes them, a window is so many documents.
     """
-    made = []
+    made: list[int] = []
 
     def window(docs: DataFrame, number: int) -> None:
-        rows = S.with_sentences(docs)
-        chunks = C.explode_chunks(rows, C.fixed_chunks(F.col("sentences"), n_chunks))
+        docs = docs.select("doc_id", "text")
+        chunks = C.explode_chunks(S.with_sentences(docs), C.fixed_chunks(F.col("sentences"), n_chunks))
         chunks.write.mode("overwrite").parquet(f"{target}/chunks/window={number}")
         measure(docs, n_chunks).write.mode("overwrite").parquet(f"{target}/metrics/window={number}")
+        if index:
+            append_index(embedded(spark.read.parquet(f"{target}/chunks/window={number}")), f"{target}/index", number)
         made.append(number)
-        if not drain:
-            query.stop()
 
     stream = spark.readStream.schema(DOCUMENT).option("maxFilesPerTrigger", files_per_window).parquet(source)
     writer = stream.writeStream.foreachBatch(window).option("checkpointLocation", checkpoint)
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    if drain:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return len(made)
+    query = writer.trigger(processingTime="1 day").start()  # the first window runs at once; the query ends before a second
+    try:
+        while query.isActive and not (query.status["message"].startswith("Waiting for next trigger") and not query.status["isTriggerActive"]):
+            query.awaitTermination(0.2)
+        if failed := query.exception():
+            raise failed
+    finally:
+        query.stop()
     return len(made)
 
 
@@ -47,3 +87,22 @@ def totals(spark: SparkSession, target: str) -> DataFrame:
     """Means over all windows so far, from the per-document rows: the same however the windows were cut."""
     rows = spark.read.parquet(f"{target}/metrics")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("num_chunks").alias("num_chunks"), F.avg("boundary_clarity").alias("boundary_clarity"))
+
+
+def backfill(cache: DataFrame | None, units: DataFrame, embed, model: str) -> DataFrame:
+    """(model, text_id, text, vector) for the distinct texts of ``units`` that the cache lacks under ``model``.
+
+    A cached row serves if it is of the same model and text and its vector is not empty; all others are made anew.
+    Append the result to the cache.
+    """
+    texts = units.filter("trim(text) <> ''").select(F.sha1("text").alias("text_id"), "text").dropDuplicates(["text_id"])
+    if cache is not None:
+        valid = cache.filter((F.col("model") == model) & (F.size("vector") > 0)).select("text_id", "text")
+        texts = texts.join(valid, ["text_id", "text"], "left_anti")
+    return texts.select(F.lit(model).alias("model"), "text_id", "text", embed(F.col("text")).alias("vector"))
+
+
+def unit_vectors(cache: DataFrame, units: DataFrame, model: str) -> DataFrame:
+    """``units`` with their cached vectors."""
+    own = cache.filter((F.col("model") == model) & (F.size("vector") > 0)).select("text_id", V.l2_normalise(F.col("vector")).alias("vector")).dropDuplicates(["text_id"])
+    return units.withColumn("text_id", F.sha1("text")).join(own, "text_id", "left").drop("text_id")

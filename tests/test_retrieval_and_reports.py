@@ -64,7 +64,7 @@ def test_reports(spark):
         "stem string, chunking string, k int, f1 double, status string",
     )
     marked = rows.withColumn("variant", R.infer_method(F.col("stem"), F.col("chunking")).getField("variant"))
-    assert {r.stem: r.variant for r in marked.collect()} == {"x_DBSCAN_1": "dbscan", "x_FIXED_1": "fixed", "y_fixed_2": "fixed", "plain": "unknown"}
+    assert {r.stem: r.variant for r in marked.collect()} == {"x_DBSCAN_1": "clustering_dbscan", "x_FIXED_1": "fixed", "y_fixed_2": "fixed", "plain": "unknown"}
     assert R.usable(marked).count() == 3
     wide = R.pivot_by_k(marked, ["stem", "variant"], ["f1"], (1, 3))
     best = {r.variant: (r["f1@1"], r["f1@1 run"]) for r in R.best_per_method(wide, "variant", "stem", ["f1@1"]).collect()}

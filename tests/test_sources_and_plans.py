@@ -4,7 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import answers as A
 from tessera.plans import experiment as E
+from tessera.plans import plugs
 from tessera.sources import corpora as S
 from tessera.sources import qa, results
 from tessera.streaming import ingest as G
@@ -121,3 +123,72 @@ def test_windows_do_not_change_totals(spark, tmp_path, files):
     got = G.totals(spark, target).first()
     want = G.measure(docs).agg(F.sum("num_chunks"), F.avg("boundary_clarity")).first()
     assert got.n == 40 and got.num_chunks == 2 * want[0] and got.boundary_clarity == pytest.approx(want[1])
+
+
+def test_kept_stages_are_of_their_corpus(spark, tmp_path):
+    one = S.load(spark, "beir", beir(tmp_path / "one"))
+    put(tmp_path / "two/corpus.jsonl", '{"_id": "d1", "text": "Red fox. It runs."}\n{"_id": "d2", "text": "Another. Text of. Three."}\n')
+    two = S.Corpus(S.beir_documents(spark, str(tmp_path / "two/corpus.jsonl")), one.queries, one.qrels)
+    stages = str(tmp_path / "stages")
+    texts = lambda c: sorted(r.text for r in E.run(spark, c, E.Experiment(), stages)["chunks"].collect())
+    first, second = texts(one), texts(two)
+    assert first != second and texts(one) == first == sorted(r.text for r in E.run(spark, one, E.Experiment())["chunks"].collect())
+    kept = [p for p in (tmp_path / "stages").iterdir()][0] / "chunks"
+    for part in kept.glob("part-*"):  # a table that lost rows is made again
+        part.unlink()
+    assert texts(one) == first and texts(two) == second
+
+
+def test_tasks(spark, tmp_path):
+    c = S.load(spark, "beir", beir(tmp_path))
+    evidence = spark.createDataFrame([("q1", "d1", "It runs.")], "query_id string, doc_id string, evidence string")
+    answers = spark.createDataFrame([("q1", "d1", True, ["It runs."]), ("q2", "d2", False, ["x"])], "query_id string, doc_id string, answerable boolean, reference_answers array<string>")
+    full = S.Corpus(c.documents, c.queries, c.qrels, evidence, answers)
+    made = E.run(spark, full, E.Experiment(ks=(1, 2), tasks=E.TASKS))
+    assert {r.k: r.recall for r in made["evidence"].collect()} == {1: 0.0, 2: 1.0}  # "Red fox." ranks before "It runs."
+    assert [r.query_id for r in made["answers"].collect()] == ["q1"] and made["qa_similarity"].first().num_queries == 1
+    with pytest.raises(ValueError):
+        E.run(spark, c, E.Experiment(tasks=("answers",)))
+    with pytest.raises(ValueError):
+        E.Experiment(tasks=("other",))
+
+
+def test_plug_points(spark):
+    plugs.register("splitter", "halves", lambda: lambda text: F.array(F.substring(text, 1, 4), F.substring(text, 5, 4)))
+    docs = spark.createDataFrame([("d", "abcdefgh")], "doc_id string, text string")
+    got = E.chunk_documents(docs, E.Experiment(E.Chunking("fixed", {"n_chunks": 2}), splitter="halves")).orderBy("position").collect()
+    assert [r.text for r in got] == ["abcd", "efgh"]
+    with pytest.raises(ValueError):
+        plugs.register("other", "x", None)
+    with pytest.raises(ValueError):
+        plugs.get("embedder", "none")
+    with pytest.raises(ValueError):
+        E.Chunking("fixed", {"n_chunks": True})
+
+
+def test_one_window_at_a_time(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"Word{i} one. Two words.") for i in range(25)], "doc_id long, text string")
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    G.lay_out(docs, source, 10)
+    assert [G.ingest(spark, source, target, state, drain=False, index=True) for _ in range(4)] == [1, 1, 1, 0]
+    assert G.totals(spark, target).first().n == 25
+    assert spark.read.parquet(f"{target}/index").count() == spark.read.parquet(f"{target}/chunks").count()
+    with pytest.raises(ValueError, match="vectors of"):
+        G.append_index(spark.createDataFrame([([1.0],)], "vector array<double>"), f"{target}/index", 9)
+
+
+def test_readers_say_what_is_wrong(spark, tmp_path):
+    for text, read, what in (("1\n", S.msmarco_queries, "two fields"), ("1 0\n", S.msmarco_qrels, "three fields")):
+        with pytest.raises(Exception, match=what):
+            read(spark, put(tmp_path / "x.tsv", text)).collect()
+    twice = put(tmp_path / "c.jsonl", '{"_id": "a", "text": "old"}\n\n{"_id": "b", "text": "b"}\n{"_id": "a", "text": "new"}\n')
+    assert {r.doc_id: r.text for r in S.beir_documents(spark, twice).collect()} == {"a": "new", "b": "b"}
+    assert {r.doc_id: r.text for r in S.beir_documents(spark, twice, 3).collect()} == {"a": "old", "b": "b"}
+    e = put(tmp_path / "e.json", json.dumps({"q": ["no object", {"doc_id": "d", "evidence_text": "t"}]}))
+    assert [tuple(r) for r in S.evidence_map(spark, e).collect()] == [("q", "d", "t")]
+
+
+def test_answers_without_sentences_open_with_the_first_chunk(spark):
+    queries = spark.createDataFrame([("q", "why"), ("r", "why")], "query_id string, query string")
+    found = spark.createDataFrame([("q", 1, "first", []), ("q", 2, "second", [])], "query_id string, rank int, text string, sentences array<string>")
+    assert {r.query_id: r.answer for r in A.extractive_answers(queries, found).collect()} == {"q": "first", "r": ""}

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import numpy as np
@@ -98,37 +99,44 @@ def test_small_segments_take_in_the_next(spark):
     assert [r.text for r in got] == ["aa b cccccc d e"]
 
 
-def plain_linkage(d, k, stop):
-    """The definition, pair by pair."""
-    groups, cap = [[i] for i in range(len(d))], max(1, -(-len(d) // k))
-    while True:
-        best = None
-        for a in range(len(groups)):
-            for b in range(a + 1, len(groups)):
-                if len(groups[a]) + len(groups[b]) <= cap:
-                    x = min(d[i][j] for i in groups[a] for j in groups[b])
-                    if best is None or x < best[0]:
-                        best = (x, a, b)
-        if best is None or best[0] > stop:
-            return groups
-        _, a, b = best
-        groups[a] = sorted(groups[a] + groups.pop(b))
-        groups.sort(key=lambda g: g[0])
-
-
-@settings(max_examples=40, deadline=None)
+def linked(parts, d, cap, stop):
+    """The partition that the definition leads to from ``parts``: the least admissible pair becomes one part, as long as there is one."""
+    pairs = [(d[np.ix_(a, b)].min(), a, b) for a, b in itertools.combinations(sorted(parts), 2) if len(a + b) <= cap]
+    near = min(pairs, default=None)
+    if near is None or near[0] > stop:
+        return sorted(parts)
+    return linked([p for p in parts if p not in near[1:]] + [sorted(near[1] + near[2])], d, cap, stop)
+
+
+@settings(max_examples=60, deadline=None)
 @given(st.integers(1, 12), st.integers(1, 6), st.integers(0, 10**6))
 def test_single_linkage_is_the_definition(n, k, seed):
     x = np.random.default_rng(seed).integers(0, 6, (n, n)) / 5
     d = np.minimum(x, x.T)
-    assert [g for g, _ in C.single_linkage(d, k, 0.6)] == plain_linkage(d, k, 0.6)
+    assert [g for g, _ in C.single_linkage(d, k, 0.6)] == linked([[i] for i in range(n)], d, max(1, -(-n // k)), 0.6)
+
+
+def test_single_linkage_without_a_cap_joins_what_is_reachable():
+    at = np.sort(np.random.default_rng(3).uniform(0, 30, 40))
+    d = np.abs(at[:, None] - at[None, :])
+    cuts = np.flatnonzero(np.diff(at) > 0.9) + 1
+    assert [g for g, _ in C.single_linkage(d, 1, 0.9)] == [p.tolist() for p in np.split(np.arange(40), cuts)]
 
 
 def test_density_clusters():
     at = np.array([0.0, 0.1, 0.2, 5.0, 9.0, 9.1])
-    d = np.abs(at[:, None] - at[None, :])
-    assert C.density_clusters(d, 0.15, 2) == [[0, 1, 2], [3], [4, 5]]
-    assert C.density_clusters(d, 0.01, 2) == [[i] for i in range(6)]
+    row = lambda i: np.abs(at - at[i])
+    assert C.density_clusters(row, 6, 0.15, 2) == [[0, 1, 2], [3], [4, 5]]
+    assert C.density_clusters(row, 6, 0.01, 2) == [[i] for i in range(6)]
+    v = np.random.default_rng(1).normal(size=(20, 4))
+    d = C.joint_distances(v, 0.3)
+    assert np.allclose(d, d.T) and C.density_clusters(C.joint_rows(v, 0.3), 20, 2.0, 2) == [list(range(20))]
+
+
+def test_clustering_options_are_checked():
+    for bad in ({"weight": 2}, {"number_of_chunks": True}, {"least": 0}, {"radius": 0}, {"stop": -1}):
+        with pytest.raises(ValueError):
+            C.check_clustering(**bad)
 
 
 def test_cluster_chunks_of_one_sentence(spark):
