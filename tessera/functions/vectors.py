@@ -76,6 +76,11 @@ def hashed_counts(tokens: Column, size: int = 32) -> Column:
     if not 0 < size <= 64:
         raise ValueError("size must be 1 to 64")
     letter = lambda b: F.char(F.lit(48) + b)
-    line = F.array_join(F.transform(tokens, lambda t: letter(F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(size)))), "")
+    digit = lambda h, at: F.instr(F.lit("0123456789abcdef"), F.substring(h, at, 1)) - 1
+    if 256 % size == 0:  # the last two of the eight digits decide
+        bucket = lambda h: F.pmod(digit(h, 7) * 16 + digit(h, 8), F.lit(size))
+    else:
+        bucket = lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(size))
+    line = F.array_join(F.transform(F.transform(tokens, lambda t: F.md5(t)), lambda h: letter(bucket(h))), "")
     each = F.sequence(F.lit(0), F.lit(size - 1))
     return let(line, lambda x: F.transform(each, lambda b: (F.length(x) - F.length(F.replace(x, letter(b), F.lit("")))).cast("double")))

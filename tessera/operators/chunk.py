@@ -80,8 +80,11 @@ class Breakpoints:
 
 
 def consecutive_distances(vectors: Column) -> Column:
-    """1 - cosine of each vector and the next."""
-    return F.transform(F.slice(vectors, F.lit(1), F.greatest(F.size(vectors) - 1, F.lit(0))), lambda v, i: F.lit(1.0) - V.cosine(v, F.get(vectors, i + 1)))
+    """1 - cosine of each vector and the next; each vector's own product is worked out once."""
+    first = F.slice(vectors, F.lit(1), F.greatest(F.size(vectors) - 1, F.lit(0)))
+    cosine = lambda v, w, size: F.when(size > 0, V.dot(v, w) / size).otherwise(F.lit(0.0))
+    apart = lambda own: F.transform(first, lambda v, i: F.lit(1.0) - V.let(F.sqrt(F.get(own, i) * F.get(own, i + 1)), lambda size: cosine(v, F.get(vectors, i + 1), size)))
+    return V.let(F.transform(vectors, lambda v: V.dot(v, v)), apart)
 
 
 def break_scores(distances: Column, rule: Breakpoints) -> Column:
