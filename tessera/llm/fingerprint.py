@@ -74,10 +74,10 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     Null and empty texts have no terms and the fingerprint ''. A column named ``out`` is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    shingle = lambda w, i: F.xxhash64(w, *[F.get(F.col("_w"), i + k) for k in range(1, SHINGLE)])
+    shingle = lambda w, i: F.xxhash64(w, *[F.get(F.col("_fp_w"), i + k) for k in range(1, SHINGLE)])
     terms = (
-        F.when(F.size("_w") >= SHINGLE, F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - (SHINGLE - 1), F.lit(0))), shingle))
-        .when(F.size("_w") > 0, F.transform("_w", lambda w: F.xxhash64(w)))
+        F.when(F.size("_fp_w") >= SHINGLE, F.transform(F.slice("_fp_w", F.lit(1), F.greatest(F.size("_fp_w") - (SHINGLE - 1), F.lit(0))), shingle))
+        .when(F.size("_fp_w") > 0, F.transform("_fp_w", lambda w: F.xxhash64(w)))
         .when(text != "", F.array(F.xxhash64(text)))
         .otherwise(F.array().cast("array<bigint>"))
     )
@@ -86,31 +86,31 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
         F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1))),
         lambda s: F.flatten(F.transform(s, lambda i, j: _samples(F.get(h, i), F.coalesce(F.get(s, j + 1), F.size(h)) - i))),
     )
-    packed = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.transform("_h", _sample_one)).otherwise(let(F.sort_array("_h"), runs))
-    firsts = F.filter("_p", lambda p, i: (i == 0) | (_bin(p) != _bin(F.get(F.col("_p"), i - 1))))
+    packed = F.when(F.size(F.array_distinct("_fp_h")) == F.size("_fp_h"), F.transform("_fp_h", _sample_one)).otherwise(let(F.sort_array("_fp_h"), runs))
+    firsts = F.filter("_fp_p", lambda p, i: (i == 0) | (_bin(p) != _bin(F.get(F.col("_fp_p"), i - 1))))
     # an empty bin's own ranking of the others, the code below it
     borrowed = lambda b: F.array_min(
-        F.transform("_f", lambda p: F.shiftleft(F.xxhash64(b, _bin(p)).bitwiseAND(F.lit(0x3FFFFFFF)), 16).bitwiseOR(p.bitwiseAND(F.lit(0xFFFF))))
+        F.transform("_fp_f", lambda p: F.shiftleft(F.xxhash64(b, _bin(p)).bitwiseAND(F.lit(0x3FFFFFFF)), 16).bitwiseOR(p.bitwiseAND(F.lit(0xFFFF))))
     ).bitwiseAND(F.lit(0xFFFF))
-    own = F.transform("_f", lambda p: p.bitwiseAND(F.lit(0xFFFF)))
-    bins = F.map_from_arrays(F.transform("_f", _bin), own)
+    own = F.transform("_fp_f", lambda p: p.bitwiseAND(F.lit(0xFFFF)))
+    bins = F.map_from_arrays(F.transform("_fp_f", _bin), own)
     digits = lambda codes: F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c)), 4, "0")), "")
     return (
-        df.withColumn("_w", F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
-        .withColumn("_h", terms)
-        .drop("_w")
-        .withColumn("_p", F.sort_array(packed))
-        .drop("_h")
-        .withColumn("_f", firsts)
-        .drop("_p")
-        .withColumn("_m", F.when(F.size("_f") < SLOTS, bins))
+        df.withColumn("_fp_w", F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
+        .withColumn("_fp_h", terms)
+        .drop("_fp_w")
+        .withColumn("_fp_p", F.sort_array(packed))
+        .drop("_fp_h")
+        .withColumn("_fp_f", firsts)
+        .drop("_fp_p")
+        .withColumn("_fp_m", F.when(F.size("_fp_f") < SLOTS, bins))
         .withColumn(
             out,
-            F.when(F.size("_f") == 0, F.lit(""))
-            .when(F.size("_f") == SLOTS, digits(own))
-            .otherwise(digits(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")), lambda b: F.coalesce(F.element_at(F.col("_m"), b), borrowed(b))))),
+            F.when(F.size("_fp_f") == 0, F.lit(""))
+            .when(F.size("_fp_f") == SLOTS, digits(own))
+            .otherwise(digits(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")), lambda b: F.coalesce(F.element_at(F.col("_fp_m"), b), borrowed(b))))),
         )
-        .drop("_f", "_m")
+        .drop("_fp_f", "_fp_m")
     )
 
 
@@ -127,7 +127,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, per_partition: int =
 
     Ids fall into ranges at their approximate quantiles. A range's first row is also sent to the range before
     it, as a guest at its end, so the next text is always found within a range; ``_guest`` marks those. The
-    driver sees one bound and one id per range. Null ids come first; rows of one id are in order of their text.
+    driver sees one bound and one id per range. Null ids come first; rows of one id are in order of their text. Null texts follow as nulls, empty and very
+    long ones as they are. Columns named _key, _range, _guest or _next give way; an empty table gives no rows.
     """
     ranges = per_partition * parallelism(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))

@@ -79,6 +79,31 @@ def test_next_rows_over_ranges(spark):
     assert fingerprint.with_next(rows.limit(0), "doc_id", "text")[0].collect() == []
 
 
+def test_fingerprint_query_by_its_definition(spark, tmp_path):
+    texts = {5: "a b c d e f g h", 9: "", 2: "Zwölf Boxkämpfer jagen " * 9, 30: None, 31: "a b c d e f g h", 2**62: "x" * 5000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in fingerprint.op1_query(spark, str(tmp_path)).collect()}
+    order = sorted(texts)
+    edited = {}
+    for d, after in zip(order, order[1:] + order[:1], strict=True):
+        t, u = texts[d] or "", texts[after] or ""
+        edited[d] = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
+        assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited[d].encode()).hexdigest())
+    plain = spark.createDataFrame([(d, t or "", edited[d]) for d, t in texts.items()], "doc_id long, text string, edited string")
+    prints = {r.doc_id: (r.p, r.q) for r in fingerprint.with_fingerprint(fingerprint.with_fingerprint(plain, "text", "p"), "edited", "q").collect()}
+    like = lambda a, b: 1.0 if a == b else 0.0 if "" in (a, b) else sum(a[k : k + 4] == b[k : k + 4] for k in range(0, 256, 4)) / 64
+    for d, after in zip(order, order[1:] + order[:1], strict=True):
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == prints[d]
+        assert (got[d].near_edited, got[d].near_next) == (like(*prints[d]), like(prints[d][0], prints[after][0]))
+    assert got[5].fingerprint == got[31].fingerprint
+
+
+def test_next_row_of_repeated_and_null_ids(spark):
+    rows = spark.createDataFrame([(None, "n"), (3, "b"), (3, "a"), (4, None)], "doc_id long, text string")
+    got = fingerprint.with_next(rows, "doc_id", "text")[0].filter("not _guest").collect()
+    assert {(r.doc_id, r.text): r._next for r in got} == {(None, "n"): "a", (3, "a"): "b", (3, "b"): None, (4, None): "n"}
+
+
 # --- 2
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -128,6 +153,16 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
 # --- 3
 
 
+def test_token_counts_of_a_sentencepiece_model(spark, tmp_path):
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    texts = [*ODD, "wortohneleerzeichen" * 3000, "<s> not a sign </s>"]
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = tokencount.count_tokens(frame(spark, texts), path, str(tmp_path / "cache")).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
+
+
 def test_token_counts_are_the_librarys(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -212,7 +247,35 @@ def test_packed_rows_are_written_and_read_back(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text")
     got = packing.op5_query(spark, str(tmp_path))
     assert got.inputFiles() and not any("documents.parquet" in f for f in got.inputFiles())
-    assert sorted(map(str, got.collect())) == sorted(map(str, packing._packed(docs).collect()))
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    assert sorted(map(str, got.collect())) == sorted(map(str, packing.pack(docs, path, tokenizers.PATTERN).collect()))
+
+
+@pytest.mark.parametrize("id_type", ["<u2", "<u4"])
+def test_matrices_are_written_and_read_back(spark, tmp_path, id_type):
+    docs = spark.createDataFrame([(None, "null id"), (7, "twice"), (7, "twice"), (2**62, "big " * 400), (1, None), (2, "")], "doc_id long, text string")
+    path, out = tokenizers.path("byte_bpe_50k.tiktoken"), str(tmp_path / "m")
+    packing.write_matrices(docs, out, path, tokenizers.PATTERN, id_type=id_type, size=64)
+    got = packing.read_matrices(spark, out).collect()
+    assert sorted(map(str, got)) == sorted(map(str, packing.pack(docs, path, tokenizers.PATTERN, size=64).collect()))
+    assert Counter(d for r in got for d, p in zip(r.doc_ids, r.pieces, strict=True) if p == 0) == {None: 1, 7: 2, 2**62: 1}
+    for r in spark.read.parquet(out).collect():  # what a loader sees: plain matrices
+        ids = np.frombuffer(r.input_ids, id_type).reshape(r.n_rows, 64)
+        resets = np.frombuffer(r.position_ids, "<u2").reshape(r.n_rows, 64)
+        cu, at = np.frombuffer(r.cu_seqlens, "<u4"), 0
+        for row, n in enumerate(r.segments):
+            own = cu[at : at + n + 1]
+            assert own[0] == 0 and (ids[row, own[-1] :] == 50256).all()
+            assert set(np.flatnonzero(resets[row, : own[-1]] == 0)) == set(own[:-1])
+            at += n + 1
+        assert at == len(cu)
+    packing.write_matrices(docs.limit(0), out, path, tokenizers.PATTERN)
+    assert packing.read_matrices(spark, out).collect() == []
+
+
+def test_an_id_too_large_for_its_type_is_an_error():
+    with pytest.raises(ValueError):
+        next(packing.pack_shard("s", [(1, 0, np.array([70_000]))], 4, 0)).binary("<u2")
 
 
 def plain_best_fit(lengths, size):
@@ -294,6 +357,41 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(docs.limit(0), model).collect() == []
 
 
+def test_log_count_ratio_by_counting():
+    rows, y = [[0, 1], [1, 2], [1]], [1, 0, 1]
+    good, bad = (np.array([sum(b in r and t == label for r, t in zip(rows, y, strict=True)) for b in range(4)], float) for label in (1, 0))
+    want = [np.log((g + 1) / (sum(good) + 4)) - np.log((b + 1) / (sum(bad) + 4)) for g, b in zip(good, bad, strict=True)]
+    assert quality.log_count_ratio(good, bad) == pytest.approx(want)
+
+
+def test_dual_descent_closes_the_gap():
+    """The primal value of the weights is no farther from the best dual value than the tolerance."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 60, 12)).astype(np.int32) for _ in range(80)]
+    y = np.where([r.mean() + rng.normal(0, 5) > 30 for r in rows], 1, -1)
+    r = rng.normal(size=60)
+    w = quality.fit_hinge(rows, y, r, epochs=400)
+    x = np.zeros((80, 61))
+    for i, f in enumerate(rows):
+        at, v = quality._row(f, r)
+        x[i, at] = v
+    most = np.where(y > 0, 80 / (2 * (y > 0).sum()), 80 / (2 * (y < 0).sum()))
+    primal = w @ w / 2 + (most * np.maximum(0, 1 - y * (x @ w))).sum()
+    a, q = np.zeros(80), (x * y[:, None]) @ (x * y[:, None]).T  # projected gradient on the dual: slow and plain
+    for _ in range(60_000):
+        a = np.clip(a + 0.02 * (1 - q @ a), 0, most)
+    assert 0 <= primal - (a.sum() - a @ q @ a / 2) + 1e-6 < 1e-2 * primal
+
+
+def test_scores_keep_ids_beside_nulls_and_split_ties_at_the_threshold(spark):
+    docs, labels = quality_rows(spark, 12)
+    model = quality.train(docs, labels)
+    rows = spark.createDataFrame([(2**62 + 1, "a"), (None, "a"), (2**62 + 3, "a"), (2**62 + 3, "a")], "doc_id long, text string")
+    own = quality.score(rows, model).collect()
+    assert Counter(r.doc_id for r in own) == {2**62 + 1: 1, None: 1, 2**62 + 3: 2} and len({r.score for r in own}) == 1
+    assert {r.predicted for r in quality.score(rows, model, threshold=own[0].score).collect()} == {1}
+
+
 def test_quality_without_labels(spark):
     docs, labels = quality_rows(spark, 6)
     model = quality.train(docs, labels.limit(0))
