@@ -107,6 +107,7 @@ def scan_versions(versions: DataFrame, ledger: str, *, text_col: str = "text", r
         .agg(F.array_sort(F.collect_set(F.struct("start", place.alias("place"), kind.alias("kind"), "end"))).alias("findings"))
     )
     none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
+    found = tmp.table(found, "found")  # with no aggregation beside it, Spark splits the join where one blob has very many versions
     return versions.select(*kept, F.sha2(text, 256).alias("blob")).join(found, "blob", "left").withColumn("findings", F.coalesce("findings", none))
 
 
