@@ -52,10 +52,12 @@ def _clean(x: Column) -> Column:
 def with_originals(pages: DataFrame, id_col: str, digest: Column, size: Column, dedup_from: int) -> DataFrame:
     """id, digest and size per page, and which page holds the payload: the largest id among equal payloads.
 
-    Grouping and joining run over digests alone; the largest id is aggregated before the shuffle.
+    Grouping and joining run over digests alone; the largest id is aggregated before the shuffle, and written, so that
+    Spark can split the join where one payload has very many pages.
     """
     keys = pages.select(F.col(id_col).alias("page_id"), digest.alias("payload_digest"), size.alias("payload_bytes"))
     last = keys.filter(F.col("payload_bytes") >= dedup_from).groupBy("payload_digest").agg(F.max("page_id").alias("_last"))
+    last = Scratch(pages.sparkSession, "originals").table(last, "last")
     return keys.join(last, "payload_digest", "left").withColumn("refers_to", F.when(F.col("_last") != F.col("page_id"), F.col("_last"))).drop("_last")
 
 
@@ -152,7 +154,7 @@ def _captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_archives(spark, path: str) -> DataFrame:
     """One row per record; an archive is one run, ``offset`` and ``length`` a place in its unpacked bytes. Lengths and digests are checked."""
-    # one archive a task and batch: bounded by ARCHIVE_BYTES and the longest record
+    # a batch holds the archives that Arrow takes together; each is read on its own, so memory is bounded by the batch
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     schema = ", ".join(x for x in CAPTURES.split(", ") if not x.startswith("urlkey"))
     return files.mapInPandas(_captures, schema).withColumn("urlkey", url_key(F.col("url"))).select(*[x.split()[0] for x in CAPTURES.split(", ")])
