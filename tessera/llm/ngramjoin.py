@@ -344,6 +344,8 @@ class _Join:
             F.min("doc").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("point").alias("point")
         )
         nodes = tmp.table(nodes, "nodes")
+        owners = tmp.table(sets.select("doc", "n", "k1", "k2"), "owners")
+        tmp.drop("sets")
         keys = nodes.select("node", F.explode("prefix").alias("key"))
         blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("who"))
         blocks = tmp.table(blocks.filter("c > 1").groupBy("c", "lo", "hi", "who").agg(F.min("key").alias("key")), "blocks")
@@ -357,6 +359,7 @@ class _Join:
         points = nodes.select("node", "n", "point")
         near = self._allowed(pairs, points)
         links = self.linked(tmp.table(near, "tried"), "first")
+        tmp.drop("tried")
         labels = components(links, tmp, "first-classes")
         labels = tmp.table(labels, "labels")
         # a band is as wide as sizes may differ: a set goes to its own, and to the next one up to meet larger ones
@@ -366,6 +369,8 @@ class _Join:
         )
         seats = named.withColumn("own", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("band", F.col("band") + 1 - F.col("own"))
         seats = tmp.table(seats, "seats")
+        tmp.drop("members")
+        tmp.drop("blocks")
         # those with members of two classes or more
         counts = seats.groupBy("key", "band").agg(
             F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("own").alias("some"), F.bit_xor(F.xxhash64("node", "own")).alias("who")
@@ -382,16 +387,18 @@ class _Join:
         by_group = lambda rows: rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
         schema = "key long, band int, low int, high int, own int, node long, label long, chunk int, n int"
         hopeful = tmp.table(by_group(dealt.join(points.hint("merge"), "node")).mapInPandas(_hopeful(percent), schema), "hopeful")
+        tmp.drop("seats")
         if not hopeful.isEmpty():
             # groups that came down to the same members are taken once
             alike = hopeful.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("x"), F.bit_xor(F.xxhash64("node", "own", "chunk")).alias("who"))
             single = alike.groupBy("band", "low", "high", "c", "x", "who").agg(F.min("key").alias("key")).select(*_GROUP)
             hopeful = tmp.table(hopeful.join(single, _GROUP), "hopeful-once")
+            tmp.drop("hopeful")
             sets_now = self.sets_of(hopeful.select("node").distinct(), "open-sets")
             more = by_group(hopeful.join(sets_now.hint("merge"), "node")).mapInPandas(_linked_within(percent), "a long, b long").distinct()
             links = links.union(tmp.table(more, "more-links"))
             labels = tmp.table(components(links, tmp, "classes"), "all-labels")
-        member = sets.select("doc", "n", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left")
+        member = owners.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left")
         return member.join(labels, "node", "left").select(
             "doc", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc")).alias("component_id")
         )
