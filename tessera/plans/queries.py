@@ -298,23 +298,38 @@ def _(spark, d):
     return C.cluster_chunks(_embedded(spark, d), method="dbscan", weight=0.5, radius=0.3, least=2)
 
 
-# a radius that no ratio of small whole numbers meets, so that rounding decides nothing
-@query(
-    "dbscan_members",
-    f"""WITH RECURSIVE {SVECS}, u AS (SELECT doc_id, i - 1 AS i, v, sqrt(list_dot_product(v, v)) AS z, count(*) OVER (PARTITION BY doc_id) AS n FROM v),
+#: No ratio of small whole numbers meets it, so rounding decides nothing.
+RADIUS = 0.31234567
+
+
+def _members_sql(method: str, least: int) -> str:
+    """Clusters of points with ``least`` neighbours within RADIUS and what lies beside them; single linkage without a cap is the case of one."""
+    return (
+        f"""WITH RECURSIVE {SVECS}, u AS (SELECT doc_id, i - 1 AS i, v, sqrt(list_dot_product(v, v)) AS z, count(*) OVER (PARTITION BY doc_id) AS n FROM v),
  near AS (SELECT a.doc_id, a.i, b.i AS j FROM u a JOIN u b ON a.doc_id = b.doc_id WHERE a.i = b.i OR
-  0.5 * abs(a.i - b.i)::DOUBLE / a.n + 0.5 * (1 - greatest(0, least(1, CASE WHEN a.z * b.z > 0 THEN list_dot_product(a.v, b.v) / (a.z * b.z) ELSE 0 END))) <= 0.31234567),
- core AS (SELECT doc_id, i FROM near GROUP BY 1, 2 HAVING count(*) >= 3),
+  0.5 * abs(a.i - b.i)::DOUBLE / a.n + 0.5 * (1 - greatest(0, least(1, CASE WHEN a.z * b.z > 0 THEN list_dot_product(a.v, b.v) / (a.z * b.z) ELSE 0 END))) <= {RADIUS}),
+ core AS (SELECT doc_id, i FROM near GROUP BY 1, 2 HAVING count(*) >= {least}),
  ties AS (SELECT near.doc_id, near.i, near.j FROM near JOIN core a ON a.doc_id = near.doc_id AND a.i = near.i JOIN core b ON b.doc_id = near.doc_id AND b.i = near.j),
  least_(doc_id, i, m) USING KEY (doc_id, i) AS (SELECT doc_id, i, i AS m FROM core UNION
   SELECT t.doc_id, t.j, min(c.m) FROM least_ c JOIN ties t ON c.doc_id = t.doc_id AND c.i = t.i JOIN recurring.least_ r ON r.doc_id = t.doc_id AND r.i = t.j WHERE c.m < r.m GROUP BY 1, 2),
  own AS (SELECT near.doc_id, near.i, min(m) AS m FROM near LEFT JOIN least_ ON least_.doc_id = near.doc_id AND least_.i = near.j GROUP BY 1, 2),
  grp AS (SELECT doc_id, i, min(i) OVER w AS low, max(i) OVER w AS high, count(*) OVER w AS size, count(*) OVER (PARTITION BY doc_id) AS n FROM own WINDOW w AS (PARTITION BY doc_id, m, CASE WHEN m IS NULL THEN i END))
- SELECT doc_id, CAST(i AS INTEGER) AS sentence_idx, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY low) - 1 AS INTEGER) AS position, CASE WHEN n = 1 THEN 'singleton' ELSE 'dbscan' END AS cluster_origin, high - low + 1 = size AS is_contiguous FROM grp""",
-)
+ SELECT doc_id, CAST(i AS INTEGER) AS sentence_idx, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY low) - 1 AS INTEGER) AS position, CASE WHEN n = 1 THEN 'singleton' ELSE '{method}' END AS cluster_origin, high - low + 1 = size AS is_contiguous FROM grp"""
+    )
+
+
+def _members(clusters: DataFrame) -> DataFrame:
+    return clusters.select("doc_id", F.explode("sentence_indices").alias("sentence_idx"), "position", "cluster_origin", "is_contiguous")
+
+
+@query("dbscan_members", _members_sql("dbscan", 3))
+def _(spark, d):
+    return _members(C.cluster_chunks(_embedded(spark, d), method="dbscan", weight=0.5, radius=RADIUS, least=3))
+
+
+@query("single_linkage_members", _members_sql("single_linkage", 1))
 def _(spark, d):
-    rows = C.cluster_chunks(_embedded(spark, d), method="dbscan", weight=0.5, radius=0.31234567, least=3)
-    return rows.select("doc_id", F.explode("sentence_indices").alias("sentence_idx"), "position", "cluster_origin", "is_contiguous")
+    return _members(C.cluster_chunks(_embedded(spark, d), method="single_linkage", weight=0.5, number_of_chunks=1, stop=RADIUS))
 
 
 @query(
