@@ -1,8 +1,8 @@
-"""The queries of this subpackage: ten operators over their whole tables."""
+"""The queries of this subpackage: thirteen operators over their whole tables."""
 
 from __future__ import annotations
 
-from tessera.llm import decontam, fingerprint, mixing, ngramjoin, oracles, packing, quality, secrets, substrings, tokencount, warc
+from tessera.llm import decontam, fertility, fingerprint, mixing, negatives, ngramjoin, oracles, packing, quality, secrets, substrings, tokencount, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_passages": substrings.op8_query,
         "op9_quality": quality.op9_query,
         "op10_mix": mixing.op10_query,
+        "op12_fertility": fertility.op12_query,
+        "op13_hard_negatives": negatives.op13_query,
     }
 
 
