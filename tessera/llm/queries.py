@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, fertility, fingerprint, mixing, negatives, ngramjoin, oracles, packing, quality, secrets, substrings, tokencount, warc
+from tessera.llm import decontam, fertility, fingerprint, mixing, negatives, ngramjoin, oracles, packing, quality, ranked, secrets, substrings, tokencount, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_passages": substrings.op8_query,
         "op9_quality": quality.op9_query,
         "op10_mix": mixing.op10_query,
+        "op11_ranked_search": ranked.op11_query,
         "op12_fertility": fertility.op12_query,
         "op13_hard_negatives": negatives.op13_query,
     }
