@@ -13,7 +13,7 @@ import gzip
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,11 @@ CAPTURES = (
     "archive string, offset long, length long"
 )
 
+READ = CAPTURES.removeprefix("urlkey string, ")
+
+#: Seconds since 1970 of the first and last moment that four digits for the year can name.
+FIRST, LAST = -62_135_596_800, 253_402_300_799
+
 #: Of RFC 4648.
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -61,7 +66,15 @@ def with_originals(pages: DataFrame, id_col: str, digest: Column, size: Column,
     return keys.join(last, "payload_digest", "left").withColumn("refers_to", F.when(F.col("_last") != F.col("page_id"), F.col("_last"))).drop("_last")
 
 
-def record_text(url: Column, when: Column) -> Column:
+def warc_date(seconds: Column) -> Column:
+    """Seconds since 1970 as a date in UTC, whatever the session's time zone."""
+    day, rest = F.floor(seconds / 86_400).cast("int"), F.pmod(seconds, F.lit(86_400))
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(rest / 3600), two(rest % 3600 / 60), two(rest % 60))
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), F.lit("T"), clock, F.lit("Z"))
+
+
+def record_text(url: Column, seconds: Column) -> Column:
     """The record up to, and without, the two line ends that close it."""
     n = F.col("payload_bytes").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n, F.lit("\r\n\r\n"))
@@ -74,7 +87,7 @@ def record_text(url: Column, when: Column) -> Column:
         F.lit("\r\nWARC-Record-ID: <urn:uuid:"),
         uuid(F.col("page_id")),
         F.lit(">\r\nWARC-Date: "),
-        F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        warc_date(seconds),
         F.lit("\r\nWARC-Target-URI: "),
         _clean(url),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
@@ -101,13 +114,15 @@ def record_text(url: Column, when: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, dedup_from: int = 0) -> None:
     """Writes ``pages`` as gzipped WARC archives, through Spark's own file commit.
 
-    Null payloads are empty and null urls blank. Without ``time_col`` the id counts as seconds. Rows that
+    Null payloads are empty and null urls blank. Without ``time_col`` the id counts as seconds since 1970, in UTC, none
+    as 0; times before the year 1 or after 9999 are held at those ends. Rows that
     share an id and a payload are written alike; extra columns are not written. An empty table leaves an
     empty folder.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     facts = with_originals(pages, id_col, base32_sha1(payload), F.octet_length(payload).cast("long"), dedup_from).distinct()
-    when = F.date_trunc("second", F.col(time_col)) if time_col else F.timestamp_seconds(F.coalesce(F.col(id_col), F.lit(0)).cast("long"))
+    when = F.unix_seconds(F.col(time_col)) if time_col else F.col(id_col).cast("long")
+    when = F.greatest(F.least(F.coalesce(when, F.lit(0)), F.lit(LAST)), F.lit(FIRST))
     full = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"), when.alias("_when"), url_key(F.col(url_col)).alias("_key"))
     size, n = pages.agg(F.sum(F.octet_length(payload) + 600), F.count(F.lit(1))).first()
     made = full.withColumn("_digest", base32_sha1(F.col("_payload"))).join(facts, F.col("_id").eqNullSafe(F.col("page_id")) & (F.col("_digest") == F.col("payload_digest")))
@@ -134,10 +149,11 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
         at = stop + 4
 
 
-def _captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(n, pa.int64() if kind == "long" else pa.string()) for n, kind in map(str.split, READ.split(", "))])
     for batch in batches:
-        for path, data in zip(batch["path"], batch["content"], strict=True):
-            rows = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            rows, data = [], content.as_py()
             for head, block, at, size in records(gzip.decompress(data)):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 stated = head["warc-payload-digest"].removeprefix("sha1:")
@@ -148,16 +164,15 @@ def _captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 time = "".join(c for c in head["warc-date"] if c.isdigit())
                 page = head["x-page-id"]
                 rows.append((time, head["warc-target-uri"], int(page) if page else None, head["warc-type"], int(head["x-refers-to-page"]) if revisit else None, stated, n, path, at, size))
-            names = ["timestamp", "url", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "archive", "offset", "length"]
-            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            # Arrow, not pandas: an id beside a missing one would go through a float there
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """One row per record; an archive is one run, ``offset`` and ``length`` a place in its unpacked bytes. Lengths and digests are checked."""
     # a batch holds the archives that Arrow takes together; each is read on its own, so memory is bounded by the batch
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    schema = ", ".join(x for x in CAPTURES.split(", ") if not x.startswith("urlkey"))
-    return files.mapInPandas(_captures, schema).withColumn("urlkey", url_key(F.col("url"))).select(*[x.split()[0] for x in CAPTURES.split(", ")])
+    return files.mapInArrow(_captures, READ).withColumn("urlkey", url_key(F.col("url"))).select(*[x.split()[0] for x in CAPTURES.split(", ")])
 
 
 class LoserTree:
@@ -193,18 +208,17 @@ class LoserTree:
             self._replay(w)
 
 
-def _merge(columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([*batches, pd.DataFrame(columns=columns)])  # one range: RANGE_CAPTURES rows, about
-        if not len(frame):
-            return
-        frame = frame.reset_index(drop=True)
-        pages = frame["page_id"].astype("Int64")  # no id comes first
-        keys = list(zip(frame["urlkey"], frame["timestamp"], pages.notna(), pages.fillna(0), range(len(frame)), strict=True))
-        runs = [iter([keys[i] for i in own]) for own in frame.groupby("archive", sort=True).indices.values()]
-        yield frame.iloc[[k[-1] for k in LoserTree(runs)]]
-
-    return run
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [b for b in batches if len(b)]  # one range: RANGE_CAPTURES rows, about
+    if not found:
+        return
+    table = pa.Table.from_batches(found).combine_chunks()
+    url, time, page, archive = (table.column(c).to_pylist() for c in ("urlkey", "timestamp", "page_id", "archive"))
+    keys = [(u, t, p is not None, p or 0, i) for i, (u, t, p) in enumerate(zip(url, time, page, strict=True))]  # no id comes first
+    runs: dict[str, list[tuple]] = {}
+    for key, own in zip(keys, archive, strict=True):
+        runs.setdefault(own, []).append(key)
+    yield from table.take([k[-1] for k in LoserTree([iter(runs[a]) for a in sorted(runs)])]).to_batches()
 
 
 def merge_index(captures: DataFrame) -> DataFrame:
@@ -216,7 +230,7 @@ def merge_index(captures: DataFrame) -> DataFrame:
     columns = [x.split()[0] for x in CAPTURES.split(", ")]
     n = max(1, -(-captures.count() // RANGE_CAPTURES))
     ranged = captures.select(*columns).repartitionByRange(n, "urlkey", "timestamp", F.col("page_id").asc_nulls_first()).sortWithinPartitions("archive", "offset")
-    return ranged.mapInPandas(_merge(columns), CAPTURES)
+    return ranged.mapInArrow(_merge, CAPTURES)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
