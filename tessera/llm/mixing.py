@@ -16,6 +16,8 @@ from tessera.llm.common import Scratch, numbered
 LEVELS, BITS = 3, 12
 #: Per-source tables of up to this many rows (some 60 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: So are the hashes of repeated rows (8 bytes each).
+BROADCAST_REPEATS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -49,6 +51,26 @@ def _with_source(docs: DataFrame, per_source: DataFrame, few: bool, how: str = "
     return docs.join(F.broadcast(right) if few else right, docs["_mix_source"].eqNullSafe(right["_source"]), how).drop("_source")
 
 
+def with_keys(sized: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``sized`` with ``_mix_key`` for ``_mix_hash``, and its columns that sums need, written.
+
+    The key is the hash's leading bits. Rows that share a hash would be taken all together; they, and no others, are
+    written out, and their place in that table is hashed into their keys.
+    """
+    narrow = tmp.table(sized.select("_mix_source", "size", "_mix_hash"), "sizes")
+    repeats = narrow.groupBy("_mix_hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("_mix_hash")
+    repeats = tmp.table(repeats, "repeats")
+    n = repeats.count()
+    keyed = lambda df, whole: df.withColumn("_mix_key", F.shiftrightunsigned(whole, 64 - LEVELS * BITS)).drop("_mix_hash")
+    if not n:
+        return keyed(sized, F.col("_mix_hash")), keyed(narrow, F.col("_mix_hash"))
+    repeats = F.broadcast(repeats) if n <= BROADCAST_REPEATS else repeats
+    again = tmp.table(sized.join(repeats, "_mix_hash", "left_semi"), "again")
+    again = keyed(again, F.xxhash64("_mix_hash", F.monotonically_increasing_id()))
+    once = lambda df: keyed(df.join(repeats, "_mix_hash", "left_anti"), F.col("_mix_hash"))
+    return once(sized).unionByName(again), tmp.table(once(narrow).unionByName(again.select("_mix_source", "size", "_mix_key")), "keys")
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -63,17 +85,18 @@ def mix_sources(
 
     A source whose target is q whole times its words plus a rest takes every document q times, and once
     more each document whose hash lies under the threshold that the rest allows. Null text has size 0;
-    null source is a source of its own, last in order; rows with one id share a hash and are taken alike;
-    an empty table gives an empty result. Columns of ``docs`` named like the four new ones are replaced; all others pass.
+    null source is a source of its own, last in order; an empty table gives an empty result. A row's hash is that of its
+    id (null too) and text; rows alike in both are told apart by their place, so how many of them are taken
+    may change with how the input is read, but not how near a source comes to its target.
+    Columns of ``docs`` named like the four new ones are replaced; all others pass.
     """
     old, (docs, new) = docs.columns, numbered(docs)
     id_col, text_col, source_col = new[id_col], new[text_col], new[source_col]
     spark = docs.sparkSession
     tmp = Scratch(spark, "mix")
-    shift = 64 - LEVELS * BITS
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), shift)
-    sized = docs.withColumns({"_mix_source": F.col(source_col), "size": word_count(F.col(text_col)), "_mix_key": key})
-    narrow = tmp.table(sized.select("_mix_source", "size", "_mix_key"), "sizes")
+    row_hash = F.xxhash64(F.lit(seed), F.col(id_col), F.col(id_col).isNull(), F.col(text_col))
+    sized = docs.withColumns({"_mix_source": F.col(source_col), "size": word_count(F.col(text_col)), "_mix_hash": row_hash})
+    sized, narrow = with_keys(sized, tmp)
     per_source = narrow.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = source_targets(per_source, weights, max_repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -124,7 +147,7 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix; one that is taken n times stands there n times.
 
     Null and empty texts have no words, so they cost nothing: they stay as often as their source's whole rounds say.
-    A null source is a source; rows of one id are taken alike. An empty table gives an empty one. Columns of any name
+    A null source is a source. An empty table gives an empty one. Columns of any name
     pass through as they are.
     """
     plain, new = numbered(docs)

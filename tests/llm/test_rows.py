@@ -203,6 +203,24 @@ def test_warc_round_trip_and_order(spark, tmp_path):
     assert warc.merge_index(warc.read_archives(spark, str(tmp_path / "none"))).collect() == []
 
 
+def test_warc_times_of_any_id_in_any_time_zone(spark, tmp_path):
+    ids = [None, 0, 1, -1, 86_399, 951_782_400, 253_402_300_799, 253_402_300_800, -62_135_596_800, -62_135_596_801, 10**13, 2**60, 2**62 + 1, -(2**62), 2**63 - 1]
+    rows = spark.createDataFrame([(i, f"http://h/{i}", "<p>same</p>" if n % 2 else f"<p>{i}</p>", "clash") for n, i in enumerate(ids)], "page_id long, url string, html string, urlkey string")
+    rows = rows.union(rows.filter("page_id = 1"))  # a repeated row
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        warc.write_archives(rows, str(tmp_path / "warc"))
+        got = warc.merge_index(warc.read_archives(spark, str(tmp_path / "warc"))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    held = lambda i: max(-62_135_596_800, min(i or 0, 253_402_300_799))
+    when = lambda i: (np.datetime64("1970-01-01T00:00:00") + np.timedelta64(held(i), "s")).item().strftime("%Y%m%d%H%M%S").rjust(14, "0")
+    assert Counter((r.page_id, r.timestamp) for r in got) == Counter((i, when(i)) for i in [*ids, 1])
+    same = {r.page_id for r in got if r.refers_to == max(i for n, i in enumerate(ids) if n % 2)}
+    assert same == {i for n, i in enumerate(ids) if n % 2} - {max(i for n, i in enumerate(ids) if n % 2)}
+
+
 def test_index_of_many_ranges_and_one_hot_url(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE_CAPTURES", 50)
     rng = random.Random(2)
@@ -434,3 +452,16 @@ def test_mix(spark, monkeypatch, few):
     again = {(r.doc_id, r.copies) for r in mixing.mix_sources(docs.repartition(7)).collect()}
     assert again == {(r.doc_id, r.copies) for r in got}
     assert mixing.mix_sources(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_mix_of_null_and_repeated_ids(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(mixing, "BROADCAST_REPEATS", 0)
+    rows = [(None, "w w w w w", "abc"[i % 3]) for i in range(300)] + [(7, "u u u u u", "abc"[i % 3]) for i in range(300)] + [(None, f"v{i} v v v v", "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, _mix_key string").repartition(4)
+    got = mixing.mix_sources(docs).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 5
