@@ -218,6 +218,16 @@ def _questions(shape: str):
     return read
 
 
+def _archives(spark: SparkSession, root: str, split: str) -> Corpus:
+    """Gzipped tar archives whose members named documents and questions of the split hold JSON."""
+    from tessera.sources import archives, qa
+
+    docs = qa.support_documents(archives.members(spark, root, "*technotes.json" if split == "all" else f"*{split}*technotes.json"))
+    questions = archives.members(spark, root, "*Q_A.json" if split == "all" else f"*{split}*Q_A.json")
+    made = qa.support_questions(questions, docs)
+    return Corpus(*[made.get(n) for n in TABLES])
+
+
 def _msmarco(spark: SparkSession, root: str, split: str) -> Corpus:
     """The test split has no judgements."""
     docs, queries = msmarco_documents(spark, f"{root}/msmarco-docs.tsv*"), msmarco_queries(spark, f"{root}/msmarco-doc{split}-queries.tsv*")
@@ -226,7 +236,7 @@ def _msmarco(spark: SparkSession, root: str, split: str) -> Corpus:
     return Corpus(docs, queries, msmarco_qrels(spark, f"{root}/msmarco-doc{split}-qrels.tsv*"))
 
 
-READERS: dict[str, Callable[[SparkSession, str, str], Corpus]] = {"beir": _beir, "msmarco": _msmarco, "msmarco-docs": _msmarco, "bundle": lambda spark, root, split: read_bundle(spark, root), "qasper": _questions("papers"), "techqa": _questions("contexts")}
+READERS: dict[str, Callable[[SparkSession, str, str], Corpus]] = {"beir": _beir, "msmarco": _msmarco, "msmarco-docs": _msmarco, "bundle": lambda spark, root, split: read_bundle(spark, root), "qasper": _questions("papers"), "techqa": _questions("contexts"), "techqa-archives": _archives}
 
 
 def register(name: str, reader: Callable[[SparkSession, str, str], Corpus]) -> None:

@@ -21,4 +21,7 @@ def read_results(spark: SparkSession, paths: list[str], numbers: tuple[str, ...]
 
 
 def write_results(rows: DataFrame, path: str) -> None:
+    """Writes result rows; none at all are an error, and nothing is written."""
+    if rows.isEmpty():
+        raise ValueError("there are no results to write")
     rows.write.mode("overwrite").csv(path, header=True)
