@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,41 +138,118 @@ def breakpoint_chunks(s: Column, breaks: Column, min_chunk_size: int | None = No
     return V.let(ends, lambda all_ends: F.transform(all_ends, lambda e, i: _chunk(s, i, F.when(i == 0, F.lit(0)).otherwise(F.get(all_ends, i - 1)), e)))
 
 
-def single_linkage(distance: np.ndarray, number_of_chunks: int, stop: float) -> list[tuple[list[int], float | None]]:
+#: Pairs whose distances are held at a time, and the nearest pairs that are kept of one pass over all.
+BLOCK, NEAREST = 1 << 20, 1 << 20
+#: Sorted pairs that are looked through together.
+TOGETHER = 1024
+
+
+class _Parts:
+    """Clusters of points as they merge. A cluster is called by its first member."""
+
+    def __init__(self, n: int, most: int):
+        self.of, self.size, self.most = np.arange(n), np.ones(n, np.int64), most
+        self.members: dict[int, list[int]] = {i: [i] for i in range(n)}
+        self.last: dict[int, float] = {}
+
+    def merge(self, a: int, b: int, distance: float) -> None:
+        self.last.pop(b, None)
+        self.last[a] = distance
+        own = self.members.pop(b)
+        self.of[own] = a
+        self.members[a] += own
+        self.size[a] += self.size[b]
+
+    def fit(self, a, b):
+        return (a != b) & (self.size[a] + self.size[b] <= self.most)
+
+    def merge_ties(self, pairs: Iterator[tuple[int, int]], distance: float) -> None:
+        """Merges along pairs of clusters at one distance, the first in order of clusters before all others.
+
+        A cluster in its turn takes in partners until none fits; nothing that comes later can give an earlier one a
+        partner, since what did not fit never will.
+        """
+        near: dict[int, set[int]] = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        for a in sorted(near):
+            while a in self.members and (found := [b for b in near[a] if b > a and self.size[a] + self.size[b] <= self.most]):
+                b = min(found)
+                self.merge(a, b, distance)
+                for c in near.pop(b) - {a}:
+                    near[c].discard(b)
+                    near[c].add(a)
+                    near[a].add(c)
+                near[a].discard(b)
+
+    def merge_level(self, rows: Callable[[int, int], np.ndarray], distance: float) -> None:
+        """The same for more pairs than are kept, which are found point by point."""
+        for a in range(len(self.of)):
+            if a not in self.members:
+                continue
+            near, looked = np.zeros(len(self.of), bool), 0
+            while a in self.members:
+                for i in self.members[a][looked:]:
+                    near |= rows(i, i + 1)[0] == distance
+                looked = len(self.members[a])
+                found = self.of[near]
+                found = found[(found > a) & self.fit(found, np.full(len(found), a))]
+                if not len(found):
+                    break
+                self.merge(a, int(found.min()), distance)
+
+
+def _nearest(rows: Callable[[int, int], np.ndarray], parts: _Parts, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Pairs of points in clusters that fit, nearest first, and a distance: all pairs below it are among them."""
+    n, limit = len(parts.of), np.inf
+    step = max(1, BLOCK // n)
+    held, count = [], 0
+    for at in range(0, n, step):
+        d = rows(at, min(at + step, n))
+        own = parts.of[at : at + len(d), None]
+        keep = (np.arange(at, at + len(d))[:, None] < np.arange(n)[None, :]) & (d <= stop) & (d < limit) & parts.fit(own, parts.of[None, :])
+        i, j = np.nonzero(keep)
+        held.append((d[i, j], (i + at).astype(np.int32), j.astype(np.int32)))
+        count += len(i)
+        if count > 2 * NEAREST:
+            x = [np.concatenate(c) for c in zip(*held, strict=True)]
+            limit = np.partition(x[0], NEAREST)[NEAREST]
+            keep = x[0] < limit
+            held, count = [tuple(c[keep] for c in x)], int(keep.sum())
+    d, i, j = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(d, kind="stable")
+    return d[order], i[order], j[order], limit
+
+
+def single_linkage(rows: Callable[[int, int], np.ndarray], n: int, number_of_chunks: int, stop: float) -> list[tuple[list[int], float | None]]:
     """Clusters with the distance of their last merge; sizes stay within ceil(n / number_of_chunks).
 
-    The closest pair whose joint size fits is merged while it is no farther than ``stop``; of equal pairs the
-    first in order of clusters, which are in order of their first members. A cluster keeps its first member's place
-    in the matrix, so a merge changes one row and closes another.
+    The closest pair whose joint size fits is merged while it is no farther than ``stop``; of equal pairs the first in
+    order of clusters, which are in order of their first members. ``rows(a, b)`` gives the distances of points a to b - 1
+    to all, the same each time and from either side.
+
+    Clusters only grow, so two that do not fit never will, and pairs of points can be taken once, nearest first. Each
+    pass over all pairs keeps the nearest that still matter; memory grows with the points and not with their square.
     """
-    n = len(distance)
-    most = max(1, -(-n // number_of_chunks))
-    groups, last = {i: [i] for i in range(n)}, dict.fromkeys(range(n))
-    size, alive, d = np.ones(n, int), np.ones(n, bool), distance.astype(float)
-    allowed = np.where(np.triu(np.ones((n, n), bool), 1) & (most > 1), d, np.inf)
-    # the least of each row, kept up to date, so that a merge looks at the rows it changes and not at the square
-    at = allowed.argmin(1)
-    best = allowed[np.arange(n), at]
-    while n:
-        a = int(best.argmin())
-        b = int(at[a])
-        if not np.isfinite(best[a]) or best[a] > stop:
+    parts = _Parts(n, max(1, -(-n // number_of_chunks)))
+    while n > 1 and parts.most > 1:
+        d, i, j, limit = _nearest(rows, parts, stop)
+        at = 0
+        while at < len(d):  # what does not fit any more drops out some thousand pairs at a time
+            end = int(np.searchsorted(d, d[min(at + TOGETHER, len(d)) - 1], side="right"))  # pairs of one distance stay together
+            keep = at + np.flatnonzero(parts.fit(parts.of[i[at:end]], parts.of[j[at:end]]))
+            at = end
+            for same in np.split(keep, np.flatnonzero(np.diff(d[keep])) + 1):
+                x, y = parts.of[i[same]], parts.of[j[same]]
+                fit = parts.fit(x, y)
+                if len(same) and fit.any():
+                    parts.merge_ties(zip(x[fit].tolist(), y[fit].tolist(), strict=True), float(d[same[0]]))
+        if not np.isfinite(limit):
             break
-        last[a] = float(best[a])
-        groups[a] = sorted(groups[a] + groups.pop(b))
-        size[a] += size[b]
-        alive[b] = False
-        d[a] = np.minimum(d[a], d[b])
-        d[:, a] = d[a]
-        allowed[b], allowed[:, b], best[b] = np.inf, np.inf, np.inf
-        row = np.where(alive & (size + size[a] <= most), d[a], np.inf)
-        allowed[a, a + 1 :], allowed[:a, a] = row[a + 1 :], row[:a]
-        nearer = alive & (np.arange(n) < a) & ((row < best) | ((row == best) & (a < at)))
-        stale = np.flatnonzero(alive & ~nearer & ((at == a) | (at == b) | (np.arange(n) == a)))
-        best[nearer], at[nearer] = row[nearer], a
-        at[stale] = allowed[stale].argmin(1)
-        best[stale] = allowed[stale, at[stale]]
-    return [(groups[i], last[i]) for i in sorted(groups)]
+        if not len(d):
+            parts.merge_level(rows, float(limit))
+    return [(sorted(parts.members[a]), parts.last.get(a)) for a in sorted(parts.members)]
 
 
 def density_clusters(row: Callable[[int], np.ndarray], n: int, radius: float, least: int) -> list[list[int]]:
@@ -198,23 +275,35 @@ def density_clusters(row: Callable[[int], np.ndarray], n: int, radius: float, le
     return sorted(groups)
 
 
-def joint_rows(vectors: np.ndarray, weight: float) -> Callable[[int], np.ndarray]:
-    """Row i of the joint distances of positions and meanings."""
-    n = len(vectors)
-    size = np.linalg.norm(vectors, axis=1)
-    unit, at = vectors / np.where(size == 0, 1, size)[:, None], np.arange(n)
-
-    def row(i: int) -> np.ndarray:
-        meaning = 1 - np.clip(unit @ unit[i], 0, 1)
-        meaning[i] = 0
-        return weight * np.abs(at - i) / n + (1 - weight) * meaning
-
-    return row
-
+def joint_rows(vectors: np.ndarray, weight: float) -> Callable[[int, int], np.ndarray]:
+    """Joint distances of positions and meanings: of points a to b - 1 to all.
 
-def joint_distances(vectors: np.ndarray, weight: float) -> np.ndarray:
-    row = joint_rows(vectors, weight)
-    return np.stack([row(i) for i in range(len(vectors))])
+    Products are summed in one order, so a distance is the same bit for bit from either side; whole numbers, as counts
+    are, have exact products in any order.
+    """
+    n = len(vectors)
+    whole = bool((vectors == np.rint(vectors)).all()) and float(np.abs(vectors).max(initial=0)) ** 2 * max(vectors.shape[1], 1) < 2.0**53
+    columns = np.ascontiguousarray(vectors.T)
+    square, at = np.zeros(n), np.arange(n)
+    for x in columns:
+        square += x * x
+
+    def dots(a: int, b: int) -> np.ndarray:
+        if whole:
+            return vectors[a:b] @ columns
+        out = np.zeros((b - a, n))
+        for x in columns:
+            out += x[a:b, None] * x[None, :]
+        return out
+
+    def rows(a: int, b: int) -> np.ndarray:
+        size = np.sqrt(square[a:b, None] * square[None, :])
+        cosine = np.divide(dots(a, b), size, out=np.zeros((b - a, n)), where=size > 0)
+        meaning = 1 - np.clip(cosine, 0, 1)
+        meaning[np.arange(b - a), np.arange(a, b)] = 0
+        return weight * np.abs(at[a:b, None] - at[None, :]) / n + (1 - weight) * meaning
+
+    return rows
 
 
 def check_clustering(weight: float = 0.25, number_of_chunks: int = 5, stop: float = 0.5, radius: float = 0.2, least: int = 2) -> None:
@@ -230,40 +319,66 @@ def check_clustering(weight: float = 0.25, number_of_chunks: int = 5, stop: floa
 CLUSTER_SCHEMA = "position int, sentence_indices array<int>, cluster_distance double, cluster_origin string, is_contiguous boolean"
 
 
+def _clusters(rows: DataFrame, method: str, weight: float, number_of_chunks: int, stop: float, radius: float, least: int) -> DataFrame:
+    """``rows`` (_id, _vectors, perhaps _sentences) to (_id, …, perhaps sentences), row by row where they lie."""
+
+    def groups(vectors: pa.ListScalar) -> list[tuple[list[int], float | None, str]]:
+        each = vectors.values
+        if each is None or len(each) == 0:
+            return []
+        if len(each) == 1:
+            return [([0], None, "singleton")]
+        distances = joint_rows(each.flatten().to_numpy(zero_copy_only=False).reshape(len(each), -1).astype(float), weight)
+        if method == "dbscan":
+            return [(g, None, method) for g in density_clusters(lambda i: distances(i, i + 1)[0], len(each), radius, least)]
+        return [(g, x, method) for g, x in single_linkage(distances, len(each), number_of_chunks, stop)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, i, *g) for k, vectors in enumerate(batch.column(1)) for i, g in enumerate(groups(vectors))]
+            at, position, members, distance, origin = zip(*found, strict=True) if found else ((),) * 5
+            columns = [
+                batch.column(0).take(pa.array(at, pa.int64())),
+                pa.array(position, pa.int32()),
+                pa.array(members, pa.list_(pa.int32())),
+                pa.array(distance, pa.float64()),
+                pa.array(origin, pa.string()),
+                pa.array([g[-1] - g[0] + 1 == len(g) for g in members], pa.bool_()),
+            ]
+            if batch.num_columns > 2:
+                text = batch.column(2)
+                start = text.offsets.to_numpy()
+                places = pa.array([int(start[k]) + i for k, g in zip(at, members, strict=True) for i in g], pa.int64())
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in members])]).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(ends, text.values.take(places)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = dict(rows.dtypes)["_id"]
+    schema = f"_id {kind}, {CLUSTER_SCHEMA}" + (", sentences array<string>" if "_sentences" in rows.columns else "")
+    names = ["_id", *[x.split()[0] for x in CLUSTER_SCHEMA.split(", ")], *(["sentences"] if "_sentences" in rows.columns else [])]
+    return rows.mapInArrow(run, schema)
+
+
 def cluster_chunks(docs: DataFrame, *, method: str, weight: float = 0.25, number_of_chunks: int = 5, stop: float = 0.5, radius: float = 0.2, least: int = 2, id_col: str = "doc_id", vectors_col: str = "vectors") -> DataFrame:
     """(id, position, sentence_indices, …) by single linkage or by density.
 
-    The vectors of a document stand in one row, so rows are clustered where they lie; no shuffle. Density works on one
-    row of distances at a time; linkage holds the square of a document's sentences. The origin is singleton for a
-    document of one sentence, else the method.
+    The vectors of a document stand in one row, so rows are clustered where they lie; no shuffle. Memory grows with a
+    document's sentences, not with their square. The origin is singleton for a document of one sentence, else the
+    method. Rows without vectors give none; ids may be of any type, null or repeated.
     """
     if method not in ("single_linkage", "dbscan"):
         raise ValueError(method)
     check_clustering(weight, number_of_chunks, stop, radius, least)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(vectors_col).cast("array<array<double>>").alias("_vectors"))
+    return _clusters(rows, method, weight, number_of_chunks, stop, radius, least).withColumnRenamed("_id", id_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, vectors in zip(batch[id_col], batch[vectors_col], strict=True):
-                if len(vectors) == 0:
-                    continue
-                v = np.stack(vectors).astype(float)
-                if len(v) == 1:
-                    found = [([0], None, "singleton")]
-                elif method == "dbscan":
-                    found = [(g, None, method) for g in density_clusters(joint_rows(v, weight), len(v), radius, least)]
-                else:
-                    found = [(g, x, method) for g, x in single_linkage(joint_distances(v, weight), number_of_chunks, stop)]
-                rows += [(doc, i, g, x, o, g[-1] - g[0] + 1 == len(g)) for i, (g, x, o) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[id_col, *[c.split()[0] for c in CLUSTER_SCHEMA.split(", ")]])
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, vectors_col).mapInPandas(run, f"{id_col} {kind}, {CLUSTER_SCHEMA}")
-
-
-def cluster_texts(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """What ``cluster_chunks`` gives, with chunk_id, sentences and text; ``docs`` also has ``sentences``."""
-    groups = cluster_chunks(docs, id_col=id_col, **options)
-    own = groups.join(docs.select(id_col, F.col("sentences").alias("_all")), id_col)
-    own = own.withColumn("sentences", F.transform("sentence_indices", lambda i: F.get(F.col("_all"), i))).drop("_all")
+
+def cluster_texts(docs: DataFrame, *, method: str, weight: float = 0.25, number_of_chunks: int = 5, stop: float = 0.5, radius: float = 0.2, least: int = 2, id_col: str = "doc_id", vectors_col: str = "vectors") -> DataFrame:
+    """What ``cluster_chunks`` gives, with chunk_id, sentences and text; ``docs`` also has ``sentences``, one for each
+    vector. Sentences go through the same pass as vectors: nothing is joined."""
+    if method not in ("single_linkage", "dbscan"):
+        raise ValueError(method)
+    check_clustering(weight, number_of_chunks, stop, radius, least)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(vectors_col).cast("array<array<double>>").alias("_vectors"), F.col("sentences").alias("_sentences"))
+    own = _clusters(rows, method, weight, number_of_chunks, stop, radius, least).withColumnRenamed("_id", id_col)
     return own.withColumns({"text": T.join_sentences(F.col("sentences")), "chunk_id": F.concat(F.col(id_col).cast("string"), F.lit("::chunk_"), F.col("position").cast("string"))})

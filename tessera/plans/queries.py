@@ -288,9 +288,23 @@ def _(spark, d):
     return C.explode_chunks(rows, C.breakpoint_chunks(F.col("sentences"), F.col("breaks"))).select("doc_id", "position", "start_sentence_idx", "end_sentence_idx")
 
 
-@query("single_linkage")
-def _(spark, d):
-    return C.cluster_chunks(_embedded(spark, d), method="single_linkage", weight=0.5, number_of_chunks=5)
+# the least admissible pair of clusters of every document merges in each round; own and size are the cluster of each
+# sentence, called by its first, and how many it has
+_LINKAGE = f"""WITH RECURSIVE {SVECS}, u AS MATERIALIZED (SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, v, list_dot_product(v, v) AS z, count(*) OVER (PARTITION BY doc_id) AS n FROM v),
+ e AS MATERIALIZED (SELECT doc_id, i, j, d FROM (SELECT a.doc_id, a.i, b.i AS j, 0.5 * abs(a.i - b.i) / a.n + 0.5 * (1 - greatest(0, least(1, CASE WHEN a.z * b.z > 0 THEN list_dot_product(a.v, b.v) / sqrt(a.z * b.z) ELSE 0 END))) AS d FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.i < b.i) WHERE d <= 0.5),
+ s(doc_id, step, most, own, size, last) AS (SELECT doc_id, 0, CAST(ceil(max(n) / 5.0) AS INTEGER), list(i ORDER BY i), list(1 ORDER BY i), list(NULL::DOUBLE ORDER BY i) FROM u GROUP BY doc_id UNION ALL
+ SELECT doc_id, step + 1, most, list_transform(own, lambda x: CASE WHEN x = m.b THEN m.a ELSE x END), list_transform(own, lambda x, k: CASE WHEN x = m.a OR x = m.b THEN size[m.a + 1] + size[m.b + 1] ELSE size[k] END), list_transform(own, lambda x, k: CASE WHEN x = m.a OR x = m.b THEN m.d ELSE last[k] END)
+ FROM (SELECT s.doc_id, any_value(step) AS step, any_value(most) AS most, any_value(own) AS own, any_value(size) AS size, any_value(last) AS last, min(struct_pack(d := e.d, a := least(own[e.i + 1], own[e.j + 1]), b := greatest(own[e.i + 1], own[e.j + 1]))) AS m
+ FROM s JOIN e ON e.doc_id = s.doc_id WHERE own[e.i + 1] <> own[e.j + 1] AND size[e.i + 1] + size[e.j + 1] <= most GROUP BY s.doc_id)),
+ f AS (SELECT doc_id, arg_max(own, step) AS own, arg_max(last, step) AS last FROM s GROUP BY doc_id),
+ g AS (SELECT doc_id, own[k] AS first, min(last[k]) AS d, string_agg(k - 1, ',' ORDER BY k) AS members, max(k) - min(k) + 1 = count(*) AS whole, any_value(len(own)) AS n FROM f, unnest(range(1, len(own) + 1)) AS t(k) GROUP BY 1, 2)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS position, members AS sentence_indices, round(d, 6) AS cluster_distance, CASE WHEN n = 1 THEN 'singleton' ELSE 'single_linkage' END AS cluster_origin, whole AS is_contiguous FROM g"""
+
+
+@query("single_linkage", _LINKAGE)
+def _(spark, d):
+    made = C.cluster_chunks(_embedded(spark, d), method="single_linkage", weight=0.5, number_of_chunks=5)
+    return made.withColumns({"sentence_indices": F.array_join(F.col("sentence_indices").cast("array<string>"), ","), "cluster_distance": F.round("cluster_distance", 6)})
 
 
 @query("dbscan")

@@ -113,14 +113,29 @@ def linked(parts, d, cap, stop):
 def test_single_linkage_is_the_definition(n, k, seed):
     x = np.random.default_rng(seed).integers(0, 6, (n, n)) / 5
     d = np.minimum(x, x.T)
-    assert [g for g, _ in C.single_linkage(d, k, 0.6)] == linked([[i] for i in range(n)], d, max(1, -(-n // k)), 0.6)
+    assert [g for g, _ in C.single_linkage(lambda a, b: d[a:b], n, k, 0.6)] == linked([[i] for i in range(n)], d, max(1, -(-n // k)), 0.6)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 12), st.integers(1, 6), st.integers(0, 10**6), st.integers(1, 9), st.sampled_from([2, 6, 100]))
+def test_single_linkage_of_few_kept_pairs_is_the_definition(n, k, seed, kept, levels):
+    """Many passes, and levels of equal distances with more pairs than are kept."""
+    x = np.random.default_rng(seed).integers(0, levels, (n, n)) / levels
+    d = np.minimum(x, x.T)
+    was = C.NEAREST, C.BLOCK, C.TOGETHER
+    try:
+        C.NEAREST, C.BLOCK, C.TOGETHER = kept, 2 * n, 1 + kept // 2
+        got = [g for g, _ in C.single_linkage(lambda a, b: d[a:b], n, k, 0.6)]
+    finally:
+        C.NEAREST, C.BLOCK, C.TOGETHER = was
+    assert got == linked([[i] for i in range(n)], d, max(1, -(-n // k)), 0.6)
 
 
 def test_single_linkage_without_a_cap_joins_what_is_reachable():
     at = np.sort(np.random.default_rng(3).uniform(0, 30, 40))
     d = np.abs(at[:, None] - at[None, :])
     cuts = np.flatnonzero(np.diff(at) > 0.9) + 1
-    assert [g for g, _ in C.single_linkage(d, 1, 0.9)] == [p.tolist() for p in np.split(np.arange(40), cuts)]
+    assert [g for g, _ in C.single_linkage(lambda a, b: d[a:b], 40, 1, 0.9)] == [p.tolist() for p in np.split(np.arange(40), cuts)]
 
 
 def test_density_clusters():
@@ -129,8 +144,9 @@ def test_density_clusters():
     assert C.density_clusters(row, 6, 0.15, 2) == [[0, 1, 2], [3], [4, 5]]
     assert C.density_clusters(row, 6, 0.01, 2) == [[i] for i in range(6)]
     v = np.random.default_rng(1).normal(size=(20, 4))
-    d = C.joint_distances(v, 0.3)
-    assert np.allclose(d, d.T) and C.density_clusters(C.joint_rows(v, 0.3), 20, 2.0, 2) == [list(range(20))]
+    d = C.joint_rows(v, 0.3)(0, 20)
+    assert (d == d.T).all() and all((C.joint_rows(v, 0.3)(i, i + 1)[0] == d[i]).all() for i in range(20))
+    assert C.density_clusters(lambda i: d[i], 20, 2.0, 2) == [list(range(20))]
 
 
 def test_clustering_options_are_checked():
@@ -145,6 +161,15 @@ def test_cluster_chunks_of_one_sentence(spark):
     assert [(r.doc_id, r.sentence_indices, r.cluster_origin) for r in got] == [(0, [0], "singleton")]
 
 
+def test_clustered_texts_of_null_and_repeated_ids(spark):
+    one = (["a", "b", "c"], [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    rows = spark.createDataFrame([(None, *one), ("x", *one), ("x", *one), ("none", [], []), ("null", None, None), ("single", ["s"], [[0.0, 0.0]])], "doc_id string, sentences array<string>, vectors array<array<double>>").repartition(2)
+    for method in ("single_linkage", "dbscan"):
+        got = C.cluster_texts(rows, method=method, number_of_chunks=1, stop=0.2, radius=0.2).collect()
+        assert sorted((str(r.doc_id), r.position, r.text, r.sentence_indices) for r in got) == sorted([(str(i), p, t, m) for i in (None, "x", "x") for p, t, m in ((0, "a b", [0, 1]), (1, "c", [2]))] + [("single", 0, "s", [0])])
+    assert C.cluster_texts(rows.limit(0), method="dbscan").collect() == []
+
+
 def test_intrinsic_closed_forms(spark):
     sets = [["a", "b"], ["b", "c"], ["d"]]
     rows = spark.createDataFrame([(sets,), ([],), ([["a"]],)], "s array<array<string>>")
