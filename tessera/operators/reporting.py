@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.split import with_running_start
+from tessera.operators.split import with_running_starts
 
 #: The first of these marks in a run's name decides its method.
 METHOD_MARKS = (
@@ -87,11 +87,10 @@ def merge_lists(rows: DataFrame, keys: list[str], order: str, value: str) -> Dat
 def running_mean(rows: DataFrame, order: str, value: str, window: int) -> DataFrame:
     """(window, n, total, mean): sums after each window of ``window`` ids, as a stream over them would have.
 
-    No window function runs over all rows: windows are summed within blocks of them, and blocks' sums are added.
+    No window function runs over all rows: see ``split.with_running_starts``.
     """
     sums = rows.groupBy(F.floor(F.col(order) / window).alias("window")).agg(F.count(value).alias("_own_n"), F.sum(value).cast("long").alias("_own_t"))
-    counted = with_running_start(sums, F.col("_own_n"), "window", "_before_n")
-    both = with_running_start(counted, F.col("_own_t"), "window", "_before_t")
+    both = with_running_starts(sums, {"_before_n": F.col("_own_n"), "_before_t": F.col("_own_t")}, "window")
     done = both.select("window", (F.col("_before_n") + F.col("_own_n")).alias("n"), (F.col("_before_t") + F.col("_own_t")).alias("total"))
     return done.withColumn("mean", F.col("total") / F.col("n"))
 

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-
-#: Documents per block of ids when running numbers over the whole corpus are made.
-ID_BLOCK = 65_536
+from tessera.sources.shared import scratch
 
 
 def with_sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -31,24 +29,37 @@ def sentence_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return placed.select(id_col, "sentence_idx", "char_start", (F.col("char_start") + F.col("n")).alias("char_end"))
 
 
-def with_running_start(rows: DataFrame, count: Column, id_col: str = "doc_id", out: str = "start") -> DataFrame:
-    """Adds how much ``count`` sums to over all rows with a smaller id, without a window over all rows.
+def with_running_starts(rows: DataFrame, counts: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
+    """Adds, under each name, how much its count sums to over all rows before, in order of id; no id comes first.
 
-    Ids fall into blocks; one window runs within blocks and one over the blocks' sums.
+    Ids may be of any type that sorts, sparse, null or repeated; rows of one id follow each other in some order. Rows are dealt
+    to ranges of ids, a hot id over several, and written sorted; a window runs within each range and one over the ranges' sums.
     """
-    blocked = rows.withColumns({"_block": F.floor(F.col(id_col) / ID_BLOCK), "_n": count.cast("long")})
-    sums = blocked.groupBy("_block").agg(F.sum("_n").alias("_sum"))
-    before = sums.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_before"))
-    own = F.sum("_n").over(Window.partitionBy("_block").orderBy(id_col)) - F.col("_n")
-    return blocked.withColumn("_own", own).join(before, "_block").withColumn(out, F.col("_before") + F.col("_own")).drop("_block", "_n", "_own", "_before")
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(id_col).asc_nulls_first(), F.col("_tie").asc()]
+    names = list(counts)
+    dealt = rows.withColumns({f"_n{k}": counts[n].cast("long") for k, n in enumerate(names)} | {"_tie": F.rand(7)}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    path = scratch(spark, "numbers")
+    dealt.drop("_tie").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).write.parquet(path)
+    written = spark.read.parquet(path)
+    sums = written.groupBy("_part").agg(*[F.sum(f"_n{k}").alias(f"_s{k}") for k in range(len(names))])  # a row for each range
+    before = sums.select("_part", *[(F.sum(f"_s{k}").over(Window.orderBy("_part")) - F.col(f"_s{k}")).alias(f"_b{k}") for k in range(len(names))])
+    own = Window.partitionBy("_part").orderBy("_at")
+    placed = written.withColumns({f"_o{k}": F.sum(f"_n{k}").over(own) - F.col(f"_n{k}") for k in range(len(names))}).join(before, "_part")
+    return placed.select(*rows.columns, *[(F.col(f"_b{k}") + F.col(f"_o{k}")).alias(n) for k, n in enumerate(names)])
+
+
+def with_running_start(rows: DataFrame, count: Column, id_col: str = "doc_id", out: str = "start") -> DataFrame:
+    return with_running_starts(rows, {out: count}, id_col)
 
 
-def unit_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(unit_id, id, sentence_idx): sentences numbered over the whole corpus in order of document id."""
+def unit_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 0) -> DataFrame:
+    """(unit_id, id, sentence_idx): sentences numbered from ``first`` over the whole corpus in order of document id."""
     counts = docs.select(id_col, F.size(T.sentences(F.col(text_col))).alias("n"))
     starts = with_running_start(counts, F.col("n"), id_col)
     return starts.filter("n > 0").select(id_col, "start", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("sentence_idx")).select(
-        (F.col("start") + F.col("sentence_idx")).alias("unit_id"), id_col, "sentence_idx"
+        (F.col("start") + F.col("sentence_idx") + first).alias("unit_id"), id_col, "sentence_idx"
     )
 
 

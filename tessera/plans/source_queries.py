@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.plans.queries import STRIP, _t, query
+from tessera.plans.queries import BOUNDARY, SENTS, STRIP, _t, query
 from tessera.sources import archives, qa
 from tessera.sources.shared import scratch
+from tessera.streaming import ingest as G
+from tessera.streaming import source as sources
 
 # --- archives ---------------------------------------------------------------------------------
 
@@ -109,3 +111,55 @@ def _(spark, d):
     stated = F.when(F.col("item_id") % 2 == 0, F.array(F.concat(F.lit(" told "), F.col("item_id").cast("string"))))
     rows = items.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("question"), contexts.alias("contexts"), F.lit("").alias("answer"), stated.alias("evidences"))
     return qa.inline_contexts(rows)["evidences"]
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _json_corpus(spark, d) -> tuple[str, int]:
+    """The documents as JSON lines in order of id, ids as texts, and a third of their number."""
+    path = scratch(spark, "corpus")
+    docs = _t(spark, d, "documents")
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("_id"), "text").write.json(path)
+    return path, max(1, -(-docs.count() // 3))
+
+
+def _streamed(spark, d) -> str:
+    """The corpus in three windows by two runs; the second window is made again, as after a failure before its commit."""
+    path, n = _json_corpus(spark, d)
+    out, state = scratch(spark, "streamed"), scratch(spark, "state")
+    G.ingest_corpus(spark, path, out, state, n, limit=2, chunk_bytes=1 << 20)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for name in ("1", ".1.crc"):
+        at = jvm.Path(f"{state}/commits/{name}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)
+    G.ingest_corpus(spark, path, out, state, n)
+    return out
+
+
+_WINDOWS = f"n AS (SELECT doc_id, s, len(s) AS n FROM ({SENTS})), r AS (SELECT doc_id, s, n, sum(n) OVER (ORDER BY doc_id) - n AS start, (row_number() OVER (ORDER BY doc_id) - 1) // CAST(ceil(count(*) OVER () / 3.0) AS BIGINT) AS w FROM n)"
+
+
+@query(
+    "stream_unit_ids",
+    f"WITH {_WINDOWS} SELECT CAST(w AS BIGINT) AS \"window\", CAST(start + i AS BIGINT) AS unit_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS doc_id, CAST(i AS INTEGER) AS sentence_idx, s[i + 1] AS text FROM r, unnest(range(0, n)) AS u(i)",
+)
+def _(spark, d):
+    return spark.read.parquet(f"{_streamed(spark, d)}/units").select(F.col("window").cast("long").alias("window"), "unit_id", "doc_id", "sentence_idx", "text")
+
+
+@query(
+    "stream_states",
+    f"WITH {_WINDOWS}, b AS ({BOUNDARY}), t AS (SELECT w, count(*) AS d, sum(r.n) AS s, sum(least(5, r.n)) AS c, sum(boundary_clarity) AS b FROM r JOIN b USING (doc_id) GROUP BY w) SELECT CAST(w AS BIGINT) AS \"window\", CAST(sum(s) OVER o AS BIGINT) AS next_unit, CAST(sum(d) OVER o AS BIGINT) AS num_docs, CAST(sum(c) OVER o AS BIGINT) AS num_chunks, round(sum(b) OVER o / sum(d) OVER o, 6) AS boundary_clarity FROM t WINDOW o AS (ORDER BY w)",
+)
+def _(spark, d):
+    """Sums after each window."""
+    rows = spark.read.parquet(f"{_streamed(spark, d)}/state")
+    return rows.select(F.col("window").cast("long").alias("window"), "next_unit", "num_docs", "num_chunks", F.round(F.col("clarity_sum") / F.col("num_docs"), 6).alias("boundary_clarity"))
+
+
+@query("corpus_by_ranges", "SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS doc_id, length(text) AS n FROM documents")
+def _(spark, d):
+    """The same corpus in batch, by byte ranges of a megabyte."""
+    path, _ = _json_corpus(spark, d)
+    return sources.documents(spark, path, chunkBytes=1 << 20).select("doc_id", F.length("text").cast("long").alias("n"))
