@@ -168,6 +168,42 @@ def test_every_exact_repeat_is_found_behind_common_lines(spark, seed):
     assert extra < 0.05 * len(want), "nothing else but near repeats at the ends"
 
 
+@pytest.mark.parametrize("outer,inner", [(10, 44), (25, 35)])
+def test_repeats_between_texts_that_others_link(spark, outer, inner):
+    """X = p q r, A = p q, B = b q r, C = b q: links of X with A and of B with C cover what X and B share."""
+    rng = random.Random(outer)
+    make = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    texts, want = [], []
+    for _ in range(150):
+        p, q, r, b = make(outer), make(inner), make(outer), make(outer)
+        for own in (p + q + r, p + q, b + q + r, b + q):
+            texts.append(" ".join(make(30) + own + make(30)))
+        n = len(texts)
+        want += [(n - 4, 30, 30 + inner + 2 * outer), (n - 2, 30, 30 + inner + 2 * outer)]
+    rows = P.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    spans = defaultdict(list)
+    for r in rows:
+        spans[r.doc_id].append((r.start_word, r.end_word, r.passage_id))
+    for x in range(0, len(texts), 4):  # X and B share outer + inner words
+        ids = [{i for s, e, i in spans[d] if s <= 30 + outer and e >= 30 + inner + 2 * outer} for d in (x, x + 2)]
+        assert ids[0] & ids[1], x
+
+
+def test_repeats_longer_than_what_the_first_text_shares(spark):
+    """Two texts share 70 words, a third the middle 50 of them: all 70 come back, whichever is first of its group."""
+    rng = random.Random(8)
+    make = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for _ in range(150):
+        w = make(70)
+        texts += [" ".join(make(30) + own + make(30)) for own in (w, w, w[10:60])]
+    found = defaultdict(set)
+    for r in P.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect():
+        found[r.doc_id] |= set(range(r.start_word, r.end_word))
+    for d in range(len(texts)):
+        assert set(range(30, 80 if d % 3 == 2 else 100)) <= found[d], d
+
+
 def test_near_repeats_are_found(spark):
     """Passages of 60 to 120 words with one or two words changed, behind common lines or not: nine of ten at least."""
     rng = random.Random(5)
