@@ -5,42 +5,54 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many queries are sent to all tasks (16 MB with 1,000 dimensions); more are dealt to tasks in such blocks.
-BLOCK = 2048
-#: Items of a task that holds them against one block of queries.
-ITEMS = 100_000
+from tessera.sources.shared import scratch
+
+#: Queries that are sent to all tasks at a time, and components of these (16 MB).
+BLOCK, COMPONENTS = 2048, 1 << 21
+#: Items that are held against a block of queries at a time.
+ITEMS = 4096
 #: Scores are ranked as rounded here, so that equal vectors tie whatever the order of summation; ties go by id.
 DIGITS = 9
 
 
-def _best(queries: pd.DataFrame, k: int, metric: str):
-    ids = queries["query_id"].to_numpy()
-    q = np.stack([np.asarray(v, float) for v in queries["query_vector"]]) if len(queries) else np.zeros((0, 0))
-    if metric == "cosine":
-        q = q / np.maximum(np.linalg.norm(q, axis=1), 1e-12)[:, None]
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    sizes = vectors.value_lengths()
+    if len(vectors) and pc.min(sizes).as_py() != pc.max(sizes).as_py():
+        raise ValueError(f"vectors of {pc.min(sizes)} and {pc.max(sizes)}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the best k of this task so far: scores and items by query
+def _best(sent, k: int, metric: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+        q = unit(q) if metric == "cosine" else q
+        held, place, pool = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), None  # the best k so far: scores, and ids by their place in the pool
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch[at : at + 4096]
-                v = np.stack([np.asarray(x, float) for x in part["vector"]])
+            for at in range(0, len(batch), ITEMS):
+                part = batch.slice(at, ITEMS)
+                v = matrix(part.column(1))
                 if metric == "cosine":
-                    score = q @ (v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]).T
+                    score = q @ unit(v).T
                 else:
                     score = -(np.square(q).sum(1)[:, None] + np.square(v).sum(1)[None, :] - 2 * q @ v.T)
-                score = np.round(score, DIGITS)
-                item = np.broadcast_to(part["item_id"].to_numpy(), score.shape)
-                if held is not None:
-                    score, item = np.concatenate([held[0], score], 1), np.concatenate([held[1], item], 1)
-                by = np.lexsort((item, -score), axis=1)[:, :k]
-                held = np.take_along_axis(score, by, 1), np.take_along_axis(item, by, 1)
-        if held is not None and len(ids):
-            yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), "item_id": held[1].ravel(), "score": held[0].ravel()})
+                ids = part.column(0) if pool is None else pa.concat_arrays([pool, part.column(0)])
+                order = pc.rank(ids, "ascending", null_placement="at_end", tiebreaker="first").to_numpy().astype(np.int64)
+                own = np.broadcast_to(np.arange(len(ids) - len(part), len(ids)), score.shape)
+                score, place = np.concatenate([held, np.round(score, DIGITS)], 1), np.concatenate([place, own], 1)
+                by = np.lexsort((order[place], -score), axis=1)[:, :k]
+                held, place = np.take_along_axis(score, by, 1), np.take_along_axis(place, by, 1)
+                kept, place = np.unique(place, return_inverse=True)
+                pool, place = ids.take(pa.array(kept)), place.reshape(held.shape)
+        if pool is not None:
+            slot = np.repeat(np.arange(len(q), dtype=np.int64), held.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pool.take(pa.array(place.ravel())), pa.array(held.ravel())], names=["slot", "item_id", "score"])
 
     return run
 
@@ -48,28 +60,46 @@ def _best(queries: pd.DataFrame, k: int, metric: str):
 def nearest(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", keep_self: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, item_id, score): the exact best k; ``metric`` cosine or l2 (score: minus squared distance).
 
-    ``items`` has item_id (long) and vector, ``queries`` query_id (long) and query_vector. Each task keeps the best
-    k of what it reads, and only those are shuffled. Up to ``block`` queries go to every task; with more, blocks of
-    queries and parts of the items are dealt to tasks, each pair of them to one. Ties go to the lesser id.
+    ``items`` has item_id and vector, ``queries`` query_id and query_vector; ids are of any type that sorts. Queries are sent to
+    all tasks ``block`` at a time; items stay where they are, a task keeps the best k of what it reads for each query, and only
+    those are shuffled. Ties go to the lesser id, no id last. Items without a vector are not found, queries without
+    one find nothing; vectors of different lengths are an error. Rows are taken as they stand: an item that stands twice is found
+    twice, a query that stands twice is answered twice.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(metric)
+    spark = items.sparkSession
     want = k if keep_self else k + 1
-    items, queries, hit = items.select("item_id", "vector"), queries.select("query_id", "query_vector"), "query_id long, item_id long, score double"
-    n = queries.count()
-    if n <= block:
-        hits = items.mapInPandas(_best(queries.toPandas(), want, metric), hit)
-    else:
-        blocks, parts = -(-n // block), max(1, -(-items.count() // ITEMS))
-        each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-        q = queries.withColumns({"_b": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "_p": each(parts)})
-        i = items.withColumns({"_p": F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"), "_b": each(blocks)})
-        pair = lambda own, other: pd.concat(list(_best(own, want, metric)(iter([other]))) or [pd.DataFrame(columns=["query_id", "item_id", "score"])])
-        hits = q.groupBy("_b", "_p").cogroup(i.groupBy("_b", "_p")).applyInPandas(pair, hit)
-    if not keep_self:
-        hits = hits.filter("query_id <> item_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
+    vector = lambda c: F.col(c).cast("array<double>").alias(c)
+    items = items.select("item_id", vector("vector")).filter("vector is not null")
+    asked = queries.select("query_id", vector("query_vector")).filter("query_vector is not null")
+    path = scratch(spark, "queries")
+    asked.write.parquet(f"{path}/all")
+    asked = spark.read.schema(asked.schema).parquet(f"{path}/all")
+    n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("query_vector"))).first()
+    rows = max(1, min(block, COMPONENTS // max(longest or 1, 1)))
+    # no file holds more than a block
+    asked.repartition(max(1, -(-n // rows))).write.option("maxRecordsPerFile", rows).parquet(f"{path}/blocks")
+    kinds = items.schema["item_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    found, files = None, sorted(spark.read.schema(asked.schema).parquet(f"{path}/blocks").inputFiles())
+    for file in files:
+        own = spark.read.schema(asked.schema).parquet(file).toArrow().combine_chunks()
+        if not len(own):
+            continue
+        sent = spark.sparkContext.broadcast(matrix(own.column("query_vector").combine_chunks()))
+        hits = items.mapInArrow(_best(sent, want, metric), f"slot long, item_id {kinds[0]}, score double")
+        named = spark.createDataFrame(pa.table({"_slot": np.arange(len(own)), "query_id": own.column("query_id")}))
+        hits = hits.join(F.broadcast(named), F.col("slot") == F.col("_slot")).drop("_slot")
+        if not keep_self:
+            hits = hits.filter(~F.col("query_id").eqNullSafe(F.col("item_id")))
+        order = Window.partitionBy("slot").orderBy(F.desc("score"), F.col("item_id").asc_nulls_last())
+        hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
+        if len(files) > 1:  # a block's vectors stay in memory no longer than its turn
+            hits.write.mode("append").parquet(f"{path}/hits")
+            sent.destroy()
+            hits = spark.read.schema(hits.schema).parquet(f"{path}/hits")
+        found = hits
+    return found if found is not None else spark.createDataFrame([], f"query_id {kinds[1]}, rank int, item_id {kinds[0]}, score double")
 
 
 def roll_up(hits: DataFrame, doc_of: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from tessera.plans import plugs
 from tessera.sources.corpora import Corpus
 
 TASKS = ("document_retrieval", "evidence_retrieval", "answers")
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 
 @dataclass(frozen=True)
@@ -135,10 +135,8 @@ def kept(spark: SparkSession, path: str | None, manifest: dict, make: Callable[[
 def _searched(index: DataFrame, queries: DataFrame, experiment: Experiment) -> DataFrame:
     """Hits (query_id, rank, item_id, score) of the queries' texts."""
     text = plugs.prefixed(F.col("query"), experiment.instruction)
-    asked = queries.select(F.xxhash64("query_id").alias("qid"), "query_id", experiment.embed(text).alias("query_vector"))
     retrieve = plugs.get("retriever", experiment.retriever, metric=experiment.metric)
-    hits = retrieve(index, asked.select(F.col("qid").alias("query_id"), "query_vector"), max(experiment.ks))
-    return hits.withColumnRenamed("query_id", "qid").join(asked.select("qid", "query_id"), "qid").drop("qid")
+    return retrieve(index, queries.select("query_id", experiment.embed(text).alias("query_vector")), max(experiment.ks))
 
 
 def run(spark: SparkSession, corpus: Corpus, experiment: Experiment, stages: str | None = None) -> dict[str, DataFrame]:
@@ -148,17 +146,65 @@ def run(spark: SparkSession, corpus: Corpus, experiment: Experiment, stages: str
     (documents) and metrics, evidence_retrieval evidence (macro scores at each k), answers answers and
     qa_similarity. A task whose table the corpus lacks is an error.
     """
-    manifest = experiment.manifest(corpus) if stages else {}
-    root = f"{stages}/{fingerprint(manifest)}" if stages else None
-    chunks = kept(spark, root and f"{root}/chunks", manifest, lambda: chunk_documents(corpus.documents, experiment))
-    vector = experiment.embed(F.col("text")).alias("vector")
-    index = kept(spark, root and f"{root}/index", manifest, lambda: chunks.filter("trim(text) <> ''").select(F.xxhash64("chunk_id").alias("item_id"), "chunk_id", "doc_id", vector))
+    chunks, index = _indexed(spark, corpus, experiment, stages)
     out = {"chunks": chunks, "index": index}
     for task in experiment.tasks:
         out |= _TASKS[task](corpus, experiment, chunks, index)
     return out
 
 
+def _indexed(spark: SparkSession, corpus: Corpus, experiment: Experiment, stages: str | None) -> tuple[DataFrame, DataFrame]:
+    manifest = experiment.manifest(corpus) if stages else {}
+    root = f"{stages}/{fingerprint(manifest)}" if stages else None
+    chunks = kept(spark, root and f"{root}/chunks", manifest, lambda: chunk_documents(corpus.documents, experiment))
+    vector = experiment.embed(F.col("text")).alias("vector")
+    index = kept(spark, root and f"{root}/index", manifest, lambda: chunks.filter("trim(text) <> ''").select(F.col("chunk_id").alias("item_id"), "chunk_id", "doc_id", vector))
+    return chunks, index
+
+
+#: (task, k, metric, value, status, details): a finished task has a row for each metric and cut-off, another one row for
+#: each cut-off that says why.
+RESULT = "task string, k int, metric string, value double, status string, details string"
+
+
+def evaluate(spark: SparkSession, corpus: Corpus, experiment: Experiment, path: str, stages: str | None = None) -> DataFrame:
+    """Runs the experiment's tasks and the intrinsic scores of its chunks, writes RESULT under ``path`` and returns it.
+
+    A task that fails, or lacks its table, is skipped, with the error's first line as details; the others go on. Each task
+    replaces its rows of an earlier call.
+    """
+    prepared: list = []
+
+    def stage() -> tuple[DataFrame, DataFrame]:
+        if not prepared:
+            prepared.append(_indexed(spark, corpus, experiment, stages))
+        return prepared[0]
+
+    for task in ("intrinsic", *experiment.tasks):
+        try:
+            if task == "intrinsic":
+                scores = _intrinsic(stage()[0])
+            else:
+                scores = _TASKS[task](corpus, experiment, *stage())[_SCORES[task]]
+            metrics = [c for c in scores.columns if c != "k"]
+            each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics])).alias("m")
+            k = F.col("k").cast("int") if "k" in scores.columns else F.lit(None).cast("int")
+            rows = scores.select(k.alias("k"), each).select("k", "m.metric", "m.value", F.lit("").alias("status"), F.lit("").alias("details"))
+            rows.write.mode("overwrite").parquet(f"{path}/task={task}")
+        except Exception as e:  # a task's failure is a result, not the end
+            ks = [None] if task == "intrinsic" else list(experiment.ks)
+            said = (str(e).strip().splitlines() or [type(e).__name__])[0]
+            spark.createDataFrame([(k, None, None, "skipped", said) for k in ks], RESULT.removeprefix("task string, ")).write.mode("overwrite").parquet(f"{path}/task={task}")
+    return spark.read.schema(f"{RESULT.removeprefix('task string, ')}, task string").parquet(path).select(*[x.split()[0] for x in RESULT.split(", ")])
+
+
+def _intrinsic(chunks: DataFrame) -> DataFrame:
+    """Chunks a document, characters and words a chunk."""
+    own = chunks.select("doc_id", F.length("text").alias("c"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w"))
+    docs = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("c"), F.avg("w").alias("w"))
+    return docs.agg(F.avg("n").alias("chunks_per_document"), F.avg("c").alias("chars_per_chunk"), F.avg("w").alias("words_per_chunk"), F.count(F.lit(1)).alias("num_documents"))
+
+
 def _document_retrieval(corpus: Corpus, experiment: Experiment, chunks: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
     hits = _searched(index, N.judged_queries(corpus.queries, corpus.qrels), experiment)
     ranked = N.roll_up(hits, index.select("item_id", "doc_id"))
@@ -191,3 +237,4 @@ def _answers(corpus: Corpus, experiment: Experiment, chunks: DataFrame, index: D
 
 
 _TASKS = {"document_retrieval": _document_retrieval, "evidence_retrieval": _evidence_retrieval, "answers": _answers}
+_SCORES = {"document_retrieval": "metrics", "evidence_retrieval": "evidence", "answers": "qa_similarity"}

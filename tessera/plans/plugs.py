@@ -7,7 +7,8 @@ What is registered is made from options and works on columns or DataFrames, so a
 * chunker: options to (documents with doc_id, sentences, vectors) -> (doc_id, position, chunk_id, text);
 * embedder: options to (text column) -> vector;
 * retriever: options to (items, queries, k) -> (query_id, rank, item_id, score);
-* scorer: options to (array of tokens) -> perplexity.
+* scorer: options to (array of tokens) -> perplexity;
+* pair_scorer: options to a maker of (texts, what each is given) -> perplexities, see ``operators.scoring``.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunk as C
 from tessera.operators import retrieval as N
+from tessera.operators import scoring
 
-KINDS = ("splitter", "router", "chunker", "embedder", "retriever", "scorer")
+KINDS = ("splitter", "router", "chunker", "embedder", "retriever", "scorer", "pair_scorer")
 _PLUGS: dict[str, dict[str, Callable]] = {kind: {} for kind in KINDS}
 
 
@@ -87,3 +89,4 @@ register("chunker", "dbscan", _clusters("dbscan"))
 register("embedder", "hashed", _hashed)
 register("retriever", "exact", _exact)
 register("scorer", "lexical", lambda: T.perplexity)
+register("pair_scorer", "lexical", lambda: scoring.lexical)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from tessera.plans.queries import BOUNDARY, SENTS, STRIP, _t, query
-from tessera.sources import archives, qa
+from tessera.functions import text as T
+from tessera.operators import chunk as C
+from tessera.operators import scoring
+from tessera.plans import experiment as E
+from tessera.plans import plugs
+from tessera.plans.queries import BOUNDARY, CHUNKS, SENTS, SETS, SQL, STRIP, _docs, _t, query
+from tessera.plans.queries import _sticky_sql as sticky_sql
+from tessera.sources import archives, corpora, qa
 from tessera.sources.shared import scratch
 from tessera.streaming import ingest as G
 from tessera.streaming import source as sources
@@ -163,3 +171,59 @@ def _(spark, d):
     """The same corpus in batch, by byte ranges of a megabyte."""
     path, _ = _json_corpus(spark, d)
     return sources.documents(spark, path, chunkBytes=1 << 20).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+# --- scorers and evaluation ---------------------------------------------------------------------
+
+
+def _texts(spark, d):
+    docs = _docs(spark, d).withColumn("sentences", T.sentences(F.col("text"))).withColumn("chunks", C.fixed_chunks(F.col("sentences"), 5))
+    return docs.select("doc_id", F.transform("chunks", lambda c: c["text"]).alias("texts"))
+
+
+def novelty() -> scoring.Scorer:
+    """One more than the distinct words that are not in the given text."""
+    words = lambda x: set(re.findall(r"\w+", (x or "").lower()))
+    return lambda texts, given: [1.0 + len(words(t) - words(g)) for t, g in zip(texts, given, strict=True)]
+
+
+plugs.register("pair_scorer", "novelty", lambda: novelty)
+
+
+@query("scored_boundary_clarity", SQL["boundary_clarity"])
+def _(spark, d):
+    made = scoring.boundary_clarity(_texts(spark, d), plugs.get("pair_scorer", "lexical"), "lexical")
+    return made.select("doc_id", F.round("boundary_clarity", 6).alias("boundary_clarity"))
+
+
+@query(
+    "scored_boundary_novelty",
+    f"WITH p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY position) AS l FROM ({SETS})), b AS (SELECT doc_id, avg((1.0 + len(w) - len(list_intersect(w, l))) / (1 + len(w))) AS v FROM p WHERE l IS NOT NULL GROUP BY 1) SELECT doc_id, round(coalesce(v, 1), 6) AS boundary_clarity FROM documents LEFT JOIN b USING (doc_id)",
+)
+def _(spark, d):
+    """A second scorer through the same cache, whose rows of the first it leaves alone."""
+    texts, cache = _texts(spark, d), scratch(spark, "scores")
+    scoring.boundary_clarity(texts.filter("doc_id % 2 = 0"), plugs.get("pair_scorer", "lexical"), "lexical", cache=cache).count()
+    made = scoring.boundary_clarity(texts, plugs.get("pair_scorer", "novelty"), "novelty", cache=cache)
+    return made.select("doc_id", F.round("boundary_clarity", 6).alias("boundary_clarity"))
+
+
+@query("scored_stickiness", f"SELECT doc_id, a.stickiness AS complete, b.stickiness AS incomplete FROM ({sticky_sql(0.2123, 0)}) a JOIN ({sticky_sql(0.2123, 1)}) b USING (doc_id)")
+def _(spark, d):
+    made = scoring.stickiness(_texts(spark, d), plugs.get("pair_scorer", "lexical"), "lexical", threshold=0.2123, delta=1)
+    return made.select("doc_id", F.round("complete", 6).alias("complete"), F.round("incomplete", 6).alias("incomplete"))
+
+
+@query(
+    "evaluation_rows",
+    rf"""WITH c AS ({CHUNKS}), x AS (SELECT doc_id, count(*) AS n, avg(length(text)) AS c, avg(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))) AS w FROM c GROUP BY 1)
+ SELECT 'intrinsic' AS task, CAST(NULL AS INTEGER) AS k, m.metric AS metric, round(m.value, 6) AS value, '' AS status FROM (SELECT unnest([struct_pack(metric := 'chunks_per_document', value := avg(n)), struct_pack(metric := 'chars_per_chunk', value := avg(c)), struct_pack(metric := 'words_per_chunk', value := avg(w)), struct_pack(metric := 'num_documents', value := CAST(count(*) AS DOUBLE))]) AS m FROM x)
+ UNION ALL SELECT t, k, NULL, NULL, 'skipped' FROM (VALUES ('evidence_retrieval'), ('answers')) AS v(t), (VALUES (1), (3)) AS w(k)""",
+)
+def _(spark, d):
+    """A corpus of documents alone: its chunks are scored, tasks that lack their tables are skipped."""
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"), "text", F.lit("").alias("url"))
+    queries = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    corpus = corpora.Corpus(docs, queries, queries.limit(0).select("query_id", F.lit("").alias("doc_id"), F.lit(0).alias("relevance")))
+    rows = E.evaluate(spark, corpus, E.Experiment(ks=(1, 3), tasks=("evidence_retrieval", "answers")), scratch(spark, "evaluation"))
+    return rows.select("task", "k", "metric", F.round("value", 6).alias("value"), "status")

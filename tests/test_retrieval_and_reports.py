@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from tessera.operators import answers as A
 from tessera.operators import reporting as R
 from tessera.operators import retrieval as N
+from tessera.operators import scoring as G
+from tessera.plans import experiment as E
+from tessera.sources import corpora as K
 from tessera.operators import split as S
 
 
@@ -81,3 +84,63 @@ def test_last_wins(spark):
 def test_merge_lists_in_order_of_first_appearance(spark):
     rows = spark.createDataFrame([(1, 2, ["b", "c"]), (1, 1, ["a", "b"])], "k int, o int, v array<string>")
     assert R.merge_lists(rows, ["k"], "o", "v").first().v == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_nearest_of_text_ids_null_vectors_and_ties(spark, monkeypatch, metric):
+    monkeypatch.setattr(N, "ITEMS", 7)
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, (60, 3)).astype(float).tolist()
+    items = [(f"i{rng.integers(10**6)}", v) for v in vectors] + [("i1", vectors[0]), ("i1", vectors[0]), (None, vectors[1]), ("none", None)]
+    queries = [(f"q{i}", v) for i, v in enumerate(vectors[:9])] + [("q0", vectors[0]), (None, vectors[2]), ("none", None)]
+    i = spark.createDataFrame(items, "item_id string, vector array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id string, query_vector array<float>")
+    want = []
+    for qid, x in queries:
+        scored = []
+        for iid, v in items:
+            if x is not None and v is not None:
+                x_, v_ = np.array(x), np.array(v)
+                s = x_ @ v_ / (max(np.linalg.norm(x_), 1e-12) * max(np.linalg.norm(v_), 1e-12)) if metric == "cosine" else -((x_ - v_) ** 2).sum()
+                scored.append((-round(s, 9) + 0.0, iid is None, iid or ""))
+        want += [(qid, n + 1, None if t[1] else t[2]) for n, t in enumerate(sorted(scored)[:5])]
+    for block in (2, 2048):
+        got = N.nearest(i, q, 5, metric=metric, block=block)
+        assert sorted(((r.query_id, r["rank"], r.item_id) for r in got.collect()), key=str) == sorted(want, key=str)
+    with pytest.raises(Exception, match="vectors of"):
+        N.nearest(i, spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "query_id string, query_vector array<double>"), 2).collect()
+
+
+def test_scores_by_ones_own_scorer(spark, tmp_path):
+    """Each pair is scored once, also over calls; two models do not mix."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def score(texts, given):
+            calls.add(len(texts))
+            return [10.0 + len(t) - (0 if g is None else len(set(t) & set(g))) for t, g in zip(texts, given, strict=True)]
+
+        return score
+
+    docs = spark.createDataFrame([("a", ["xy", "yz", "xy", "yz"]), ("b", ["xy", "yz"]), ("c", ["one"]), ("d", []), (None, ["", "xy"])], "doc_id string, texts array<string>").repartition(2)
+    cache = str(tmp_path / "scores")
+    got = {r.doc_id: r.boundary_clarity for r in G.boundary_clarity(docs, make, "m", cache=cache).collect()}
+    assert got == pytest.approx({"a": (11 / 12) * 2 / 3 + (11 / 12) / 3, "b": 11 / 12, "c": 1.0, "d": 1.0, None: 1.0})
+    assert calls.value == 5  # xy and yz plain and given each other, xy given nothing but blanks
+    G.boundary_clarity(docs, make, "m", cache=cache).collect()
+    assert calls.value == 5
+    G.boundary_clarity(docs, make, "other", cache=cache).collect()
+    assert calls.value == 10
+    stick = {r.doc_id: (r.complete_edges, r.incomplete_edges) for r in G.stickiness(docs, make, "m", threshold=0.01, delta=1, cache=cache).collect()}
+    assert stick == {"a": (6.0, 3.0), "b": (1.0, 0.0), "c": (0.0, 0.0), "d": (0.0, 0.0), None: (0.0, 0.0)}
+    assert G.boundary_clarity(docs.limit(0), make, "m").collect() == []
+
+
+def test_evaluation_goes_on_after_a_failing_task(spark, tmp_path):
+    text = [("d1", "T", "Red fox. It runs.", ""), ("d2", "", "Blue sky. Clouds drift.", "")]
+    corpus = K.Corpus(spark.createDataFrame(text, K.DOCUMENT), spark.createDataFrame([("q1", "red fox runs")], "query_id string, query string"), spark.createDataFrame([("q1", "d1", 1)], "query_id string, doc_id string, relevance int"))
+    rows = E.evaluate(spark, corpus, E.Experiment(ks=(1, 3), tasks=E.TASKS), str(tmp_path / "e")).collect()
+    skipped = {(r.task, r.k, r.details) for r in rows if r.status == "skipped"}
+    assert skipped == {(t, k, f"the corpus has no {n}") for t, n in (("evidence_retrieval", "evidences"), ("answers", "answers")) for k in (1, 3)}
+    assert {(r.metric, r.value) for r in rows if r.task == "document_retrieval" and r.k == 1} >= {("precision", 1.0), ("f1", 1.0)}
+    assert {r.metric: r.value for r in rows if r.task == "intrinsic"}["num_documents"] == 2
