@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunk as C
-from tessera.operators import scoring
+from tessera.operators import coverage, saved, scoring
 from tessera.plans import experiment as E
 from tessera.plans import plugs
 from tessera.plans.queries import BOUNDARY, CHUNKS, SENTS, SETS, SQL, STRIP, _docs, _t, query
@@ -227,3 +227,44 @@ def _(spark, d):
     corpus = corpora.Corpus(docs, queries, queries.limit(0).select("query_id", F.lit("").alias("doc_id"), F.lit(0).alias("relevance")))
     rows = E.evaluate(spark, corpus, E.Experiment(ks=(1, 3), tasks=("evidence_retrieval", "answers")), scratch(spark, "evaluation"))
     return rows.select("task", "k", "metric", F.round("value", 6).alias("value"), "status")
+
+
+# --- nested texts, saved units, coverage --------------------------------------------------------
+
+
+@query("nested_texts", "SELECT event_id, event_type || '|' || CAST(user_id AS VARCHAR) || '|True' AS texts FROM events")
+def _(spark, d):
+    """JSON of three and of five levels, with objects that hold no text and texts that come twice."""
+    own = F.concat(F.lit('{"note": "x", "answers": [{"evidence": ['), "props", F.lit(', "'), "event_type", F.lit('", '), F.col("user_id").cast("string"), F.lit(', true], "text": " '), "event_type", F.lit(' "}]}'))
+    value = F.when(F.col("event_id") % 2 == 0, own).otherwise(F.concat(F.lit('[{"supporting_facts": {"answer": '), own, F.lit("}}]")))
+    rows = qa.collected_texts(_t(spark, d, "events").select("event_id", value.alias("json")), "json")
+    return rows.select("event_id", F.array_join("texts", "|").alias("texts"))
+
+
+@query("chunks_of_saved_units", f"SELECT doc_id, position, CASE WHEN doc_id % 2 = 0 THEN replace(text, 'e', 'E') ELSE text END AS text FROM ({CHUNKS})")
+def _(spark, d):
+    """The sentences of every second document are kept, in a spelling of their own; the others are split anew."""
+    path, docs = scratch(spark, "saved"), _docs(spark, d)
+    saved.save(docs, f"{path}/docs", 8)
+    units = docs.filter("doc_id % 2 = 0").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_idx", "text"))
+    saved.save(units.withColumn("text", F.replace("text", F.lit("e"), F.lit("E"))), f"{path}/units", 8, ("sentence_idx",))
+    return saved.chunks_from_saved(saved.load(spark, f"{path}/docs"), saved.load(spark, f"{path}/units")).select("doc_id", "position", "text")
+
+
+@query(
+    "coverage_audit",
+    """WITH e AS (SELECT CASE WHEN event_type = 'view' THEN 'other' ELSE event_type END AS kind, CAST([1, 3, 5, 10][event_id % 4 + 1] AS VARCHAR) AS k, event_type FROM events), n AS (SELECT kind, k, count(*) FILTER (NOT (kind = 'click' AND k = '3')) AS n FROM e WHERE NOT (kind = 'purchase' AND k = '10') GROUP BY 1, 2),
+ x AS (SELECT kind, k FROM (SELECT unnest(['click', 'purchase', 'view']) AS kind), (SELECT unnest(['1', '3', '5', '10']) AS k))
+ SELECT coalesce(x.kind, n.kind) AS kind, coalesce(x.k, n.k) AS k, CAST(n.n AS BIGINT) AS n_rows, CASE WHEN x.kind IS NULL THEN 'unexpected' WHEN n.kind IS NULL THEN 'missing' WHEN n.n = 0 THEN 'empty' ELSE 'complete' END AS state FROM x FULL JOIN n ON x.kind = n.kind AND x.k = n.k""",
+)
+def _(spark, d):
+    """Outputs of events by type and cut-off: one was never written, one has a header alone, one type is not expected, one expected type has none."""
+    path = scratch(spark, "outputs")
+    kind = F.when(F.col("event_type") == "view", "other").otherwise(F.col("event_type"))
+    events = _t(spark, d, "events").select(kind.alias("kind"), F.element_at(F.array(*map(F.lit, (1, 3, 5, 10))), (F.col("event_id") % 4 + 1).cast("int")).alias("k"), F.col("value").alias("f1"))
+    for own, k in events.select("kind", "k").distinct().collect():  # as many runs as there are combinations
+        if (own, k) != ("purchase", 10):
+            rows = events.filter((F.col("kind") == own) & (F.col("k") == k) & F.lit((own, k) != ("click", 3)))
+            rows.select("f1").coalesce(1).write.csv(f"{path}/{own}/{k}", header=True)
+    wanted = coverage.combinations(spark, {"kind": ["click", "purchase", "view"], "k": [1, 3, 5, 10]})
+    return coverage.audit(wanted, coverage.outputs(spark, path, ("kind", "k")))

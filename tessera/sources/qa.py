@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.shared import scratch
 
 
 def first_filled(*columns: Column) -> Column:
@@ -191,3 +192,40 @@ def support_questions(elements: DataFrame, docs: DataFrame, prefix: str = "techq
         "evidences": spans.select("query_id", F.when(known, F.col("doc_id")).otherwise("").alias("doc_id"), F.coalesce(part, "whole", F.lit("")).alias("evidence")),
         "answers": kept.select("query_id", "doc_id", (F.col("flag") | (F.size("reference_answers") > 0)).alias("answerable"), "reference_answers"),
     }
+
+
+#: Fields of a JSON object in which texts are looked for, in this order; fixed names.
+TEXT_FIELDS = ("text", "answer", "answers", "reference_answers", "extractive_spans", "evidence", "evidences", "supporting_facts")
+
+
+def collected_texts(rows: DataFrame, value: str, out: str = "texts", fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
+    """``rows`` plus ``out``: the texts within the JSON text ``value``, however deep, stripped, the first of equal ones.
+
+    A text, number or boolean is one; of an array all elements are looked through, of an object ``fields`` in their order.
+    What is no JSON, null, or an object without these has none. Each round opens one level of all rows, by their place in the
+    table; there are as many rounds as the deepest value has levels, and rows without a deeper one are in none of them.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark, "texts")
+    rows.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    written = spark.read.parquet(f"{path}/rows")
+    rank = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.lit(i))])
+    level = written.select("_row", F.array().cast("array<int>").alias("place"), F.try_parse_json(value).alias("v")).filter("v is not null")
+    found, depth = None, 0
+    while True:
+        kind = F.schema_of_variant("v")
+        nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+        level.select("_row", "place", F.to_json("v").alias("json"), nested.alias("nested"), kind.alias("kind")).write.parquet(f"{path}/level{depth}")
+        level = spark.read.parquet(f"{path}/level{depth}")
+        plain = F.try_variant_get(F.parse_json("json"), "$", "string")
+        texts = level.filter("not nested and kind <> 'VOID'").select("_row", "place", F.when(F.col("kind") == "BOOLEAN", F.initcap(plain)).otherwise(T.strip(plain)).alias("text"))
+        found = texts if found is None else found.unionByName(texts)
+        inner = level.filter("nested").withColumn("v", F.parse_json("json"))
+        if inner.isEmpty():
+            break
+        opened = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        at = F.when(F.col("key").isNull(), F.col("pos")).otherwise(F.element_at(rank, F.col("key")))
+        level = opened.select("_row", F.concat("place", F.array(at)).alias("place"), F.col("value").alias("v"), at.alias("_at")).filter("_at is not null").drop("_at")
+        depth += 1
+    texts = found.filter("text <> ''").groupBy("_row").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])).alias(out))
+    return written.drop(out).join(texts, "_row", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).drop("_row")
