@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The Unicode word class (Java's \w is ASCII only), and where sentences end.
 WORD = r"[\p{L}\p{N}_]+"
-_ENDS = r"(?<=[.!?])\s+|[\r\n]+"
+ENDS = r"(?<=[.!?])\s+|[\r\n]+"
 
 
 def strip(x: Column) -> Column:
@@ -16,12 +16,12 @@ def strip(x: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut after . ! ? with white space behind, and at line ends; stripped, blanks dropped. Null has none."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _ENDS), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ENDS), strip), lambda s: s != "")
 
 
 def pieces(text: Column) -> Column:
     """Unstripped sentences, blank ones too, in order: array of (piece, size with the gap behind it)."""
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "\x03\x03"), f"({_ENDS})", "\x01$1\x02")
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "\x03\x03"), f"({ENDS})", "\x01$1\x02")
     one = lambda p: F.struct(F.substring_index(p, "\x01", 1).alias("piece"), F.length(F.translate(p, "\x01", "")).alias("size"))
     return F.transform(F.split(marked, "\x02"), one)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,69 @@ def sentence_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return placed.select(id_col, "sentence_idx", "char_start", (F.col("char_start") + F.col("n")).alias("char_end"))
 
 
+#: Characters of a text that an offset splitter gets at a time, and at most.
+AT_ONCE, MOST = 100_000, 1_000_000
+
+
+def spans(text: str, cut: Callable[[str], Iterable[tuple[int, int]]], at_once: int = AT_ONCE, most: int = MOST) -> Iterator[tuple[int, int]]:
+    """(start, end) of the sentences that ``cut`` finds in pieces of a text.
+
+    A piece's last sentence may go on, so the next piece begins with it. Where a sentence fills a piece the piece is made
+    longer, up to ``most`` characters; a longer sentence is cut at its last blank there.
+    """
+    at, size = 0, at_once
+    while at < len(text):
+        piece = text[at : at + size]
+        found = list(cut(piece))
+        if at + size >= len(text):
+            yield from ((at + a, at + b) for a, b in found)
+            return
+        if len(found) > 1:
+            yield from ((at + a, at + b) for a, b in found[:-1])
+            at, size = at + found[-1][0], at_once
+        elif size < most:
+            size = min(2 * size, most)
+        else:
+            blank = max((m.start() for m in re.finditer(r"\s", piece[1:])), default=len(piece) - 1) + 1
+            yield from ((at + a, at + min(b, blank)) for a, b in found if a < blank)
+            at, size = at + blank, at_once
+
+
+def rule_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Where ``functions.text.sentences`` cuts, sentence by sentence, white space at the ends included; blank ones are left out."""
+    start = 0
+    for m in re.finditer(T.ENDS, text):
+        if text[start : m.start()].strip():
+            yield start, m.start()
+        start = m.end()
+    if text[start:].strip():
+        yield start, len(text)
+
+
+def split_by(docs: DataFrame, make: Callable[[], Callable[[str], Iterable[tuple[int, int]]]], id_col: str = "doc_id", text_col: str = "text", at_once: int = AT_ONCE) -> DataFrame:
+    """(id, sentence_idx, text, char_start, char_end) by a splitter of one's own; ``text`` is stripped.
+
+    ``make`` is called once a task and gives a function from a text to its sentences' (start, end), in order; long texts reach it
+    in pieces. Ids may be of any type; a null or blank text has no sentences.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = make()
+        for batch in batches:
+            for at in range(len(batch)):
+                text = batch.column(1)[at].as_py() or ""
+                found = [(i, text[a:b].strip(), a, b) for i, (a, b) in enumerate(spans(text, cut, at_once))]
+                if found:
+                    columns = zip(*found, strict=True)
+                    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+                    own = batch.column(0).take(pa.array([at] * len(found)))
+                    yield pa.RecordBatch.from_arrays([own, *[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]], names=["_id", "sentence_idx", "text", "char_start", "char_end"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"_id {kind}, sentence_idx int, text string, char_start long, char_end long").withColumnRenamed("_id", id_col)
+
+
 def with_running_starts(rows: DataFrame, counts: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
     """Adds, under each name, how much its count sums to over all rows before, in order of id; no id comes first.
 

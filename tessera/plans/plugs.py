@@ -8,6 +8,7 @@ What is registered is made from options and works on columns or DataFrames, so a
 * embedder: options to (text column) -> vector;
 * retriever: options to (items, queries, k) -> (query_id, rank, item_id, score);
 * scorer: options to (array of tokens) -> perplexity;
+* offset_splitter: options to a maker of (text) -> (start, end) of its sentences, see ``operators.split.split_by``;
 * pair_scorer: options to a maker of (texts, what each is given) -> perplexities, see ``operators.scoring``.
 """
 
@@ -22,8 +23,9 @@ from tessera.functions import vectors as V
 from tessera.operators import chunk as C
 from tessera.operators import retrieval as N
 from tessera.operators import scoring
+from tessera.operators import split as S
 
-KINDS = ("splitter", "router", "chunker", "embedder", "retriever", "scorer", "pair_scorer")
+KINDS = ("splitter", "router", "chunker", "embedder", "retriever", "scorer", "pair_scorer", "offset_splitter")
 _PLUGS: dict[str, dict[str, Callable]] = {kind: {} for kind in KINDS}
 
 
@@ -90,3 +92,4 @@ register("embedder", "hashed", _hashed)
 register("retriever", "exact", _exact)
 register("scorer", "lexical", lambda: T.perplexity)
 register("pair_scorer", "lexical", lambda: scoring.lexical)
+register("offset_splitter", "sentence", lambda: lambda: S.rule_spans)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunk as C
-from tessera.operators import coverage, saved, scoring
+from tessera.operators import coverage, saved, scoring, split
 from tessera.plans import experiment as E
 from tessera.plans import plugs
 from tessera.plans.queries import BOUNDARY, CHUNKS, SENTS, SETS, SQL, STRIP, _docs, _t, query
 from tessera.plans.queries import _sticky_sql as sticky_sql
-from tessera.sources import archives, corpora, qa
+from tessera.sources import archives, cache, corpora, qa
 from tessera.sources.shared import scratch
 from tessera.streaming import ingest as G
 from tessera.streaming import source as sources
@@ -268,3 +268,26 @@ def _(spark, d):
             rows.select("f1").coalesce(1).write.csv(f"{path}/{own}/{k}", header=True)
     wanted = coverage.combinations(spark, {"kind": ["click", "purchase", "view"], "k": [1, 3, 5, 10]})
     return coverage.audit(wanted, coverage.outputs(spark, path, ("kind", "k")))
+
+
+# --- offset splitters and kept corpora ------------------------------------------------------------
+
+
+@query("plugged_offsets", SQL["sentence_offsets"])
+def _(spark, d):
+    """A splitter that works on texts themselves, a thousand characters at a time."""
+    return split.split_by(_docs(spark, d), plugs.get("offset_splitter", "sentence"), at_once=1000).select("doc_id", "sentence_idx", "char_start", "char_end")
+
+
+@query("kept_corpus", "SELECT CAST(item_id AS VARCHAR) AS query_id, text AS evidence, 2 AS snapshots FROM benchmark")
+def _(spark, d):
+    """A kept corpus without evidence is made anew when a task needs it, and not again when the task comes back."""
+    root, kept = scratch(spark, "bundle"), scratch(spark, "kept")
+    items = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"), "text", F.lit("").alias("url"))
+    qrels = items.select("query_id", F.lit("0").alias("doc_id"), F.lit(1).alias("relevance"))
+    cache.publish(spark, corpora.Corpus(docs, items, qrels), kept)
+    corpora.write_bundle(corpora.Corpus(docs, items, qrels, items.select("query_id", F.lit("").alias("doc_id"), F.col("query").alias("evidence"))), root)
+    for tasks in ((), ("evidence_retrieval",), ("evidence_retrieval",), ()):
+        corpus = cache.load(spark, "bundle", root, "test", kept, tasks)
+    return corpus.evidences.select("query_id", "evidence", F.lit(len(cache.snapshots(spark, kept))).alias("snapshots"))

@@ -123,3 +123,52 @@ def test_windows_of_text_ids_and_later_layouts(spark, tmp_path):
     assert sorted(r.n for r in spark.read.parquet(source_path).groupBy("window").agg(F.count("*").alias("n")).collect()) == [2, 4, 5, 5]
     assert [G.ingest(spark, source_path, out, state, drain=False) for _ in range(2)] == [1, 0]
     assert G.totals(spark, out).first().n == 16 == G.read_state(spark, out)["num_docs"]
+
+
+def test_spans_of_pieces_are_spans_of_the_whole(spark):
+    rng = random.Random(3)
+    parts = ["word", "two words", ". ", "! ", "?\n", "\n\n", "  ", "é漢", "x" * 70, "a b " * 30]
+    texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 5, 60]))) for _ in range(120)] + ["long " * 190_000 + ". End.", "One. " * 200_000]
+    for t in texts[:-2]:
+        whole = list(S.rule_spans(t))
+        for at_once in (1, 3, 10, 64):
+            assert list(S.spans(t, S.rule_spans, at_once, 10**6)) == whole, (t, at_once)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "Null. Id."), (7777, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.sentence_idx, r.char_start, r.char_end) for r in S.split_by(docs, lambda: S.rule_spans, at_once=1000).collect()))
+    want = sorted(((r.doc_id is None, r.doc_id or 0, r.sentence_idx, r.char_start, r.char_end) for r in S.sentence_offsets(docs).collect()))
+    assert got == want
+    # a sentence that is longer than any piece may be is cut at blanks, and nothing of it is lost
+    t = "word " * 300 + "end"
+    cut = list(S.spans(t, S.rule_spans, 64, 128))
+    assert len(cut) > 5 and "".join(t[a:b] for a, b in cut).replace(" ", "") == t.replace(" ", "") and all(b - a <= 128 for a, b in cut)
+
+
+def test_kept_corpora(spark, tmp_path):
+    from tessera.sources import cache, corpora
+
+    reads = []
+    table = lambda s, *r: spark.createDataFrame(list(r), s)
+    docs, queries = table(corpora.DOCUMENT, ("d", "T", "text", "")), table("query_id string, query string", ("q", "?"))
+    qrels = table("query_id string, doc_id string, relevance int", ("q", "d", 1))
+    evidences = table("query_id string, doc_id string, evidence string", ("q", "d", "text"))
+
+    def reader(spark, root, split):
+        reads.append(root)
+        return corpora.Corpus(docs, queries, qrels, evidences if root == "with" else None)
+
+    corpora.register("counted", reader)
+    kept = str(tmp_path / "kept")
+    load = lambda root, *tasks: cache.load(spark, "counted", root, "test", kept, tasks)
+    first = load("without")
+    assert load("without").documents.count() == 1 and len(reads) == 1
+    for _ in range(2):  # the source is read again once for this task, and says no
+        with pytest.raises(ValueError, match="evidences"):
+            load("without", "evidence_retrieval")
+    assert len(reads) == 2 and first.documents.count() == 1  # readers of the first snapshot are not disturbed
+    cache.publish(spark, corpora.Corpus(docs, queries, qrels), kept)  # a snapshot that nobody asked about evidence
+    assert load("with", "evidence_retrieval").evidences.count() == 1 and len(reads) == 3
+    assert load("with", "evidence_retrieval").evidences.count() == 1 and len(reads) == 3
+    (tmp_path / "kept" / ".part-left-by-a-failed-run").mkdir()
+    assert cache.snapshots(spark, kept) == [0, 1, 2, 3]
+    cache.prune(spark, kept)
+    assert cache.snapshots(spark, kept) == [3] and load("with", "evidence_retrieval").evidences.count() == 1
