@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -115,23 +116,32 @@ def chunk_documents(docs: DataFrame, experiment: Experiment) -> DataFrame:
 
 
 def kept(spark: SparkSession, path: str | None, manifest: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path`` if its manifest is the same and it has as many rows as that says, else what ``make`` gives, written there."""
+    """The table kept for ``path`` if its manifest is the same and it has as many rows as that says, else what ``make`` gives, kept there.
+
+    Each run writes a folder of its own and then the manifest that names it: a run that ends between the two leaves the
+    table before it in place, and of two at once both tables stay whole.
+    """
     if path is None:
         return make()
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-manifest/_SUCCESS")
     want = json.dumps(manifest, sort_keys=True)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        found = spark.read.json(f"{path}-manifest").first()
-        if found and found.manifest == want:
-            rows = spark.read.schema(StructType.fromJson(json.loads(found.schema))).parquet(path)
+        found = spark.read.schema(KEPT).json(f"{path}-manifest").first()
+        if found and found.manifest == want and found.data:
+            rows = spark.read.schema(StructType.fromJson(json.loads(found.schema))).parquet(found.data)
             if rows.count() == found.n_rows:
                 return rows
-    make().write.mode("overwrite").parquet(path)
-    rows = spark.read.parquet(path)
-    spark.createDataFrame([(want, rows.schema.json(), rows.count())], "manifest string, schema string, n_rows long").coalesce(1).write.mode("overwrite").json(f"{path}-manifest")
+    data = f"{path}-data/{uuid.uuid4().hex}"
+    make().write.parquet(data)
+    rows = spark.read.parquet(data)
+    spark.createDataFrame([(want, rows.schema.json(), rows.count(), data)], KEPT).coalesce(1).write.mode("overwrite").json(f"{path}-manifest")
     return rows
 
 
+#: What a manifest says of a kept table.
+KEPT = "manifest string, schema string, n_rows long, data string"
+
+
 def _searched(index: DataFrame, queries: DataFrame, experiment: Experiment) -> DataFrame:
     """Hits (query_id, rank, item_id, score) of the queries' texts."""
     text = plugs.prefixed(F.col("query"), experiment.instruction)

@@ -399,7 +399,7 @@ def _judged(spark, d) -> DataFrame:
     marked = hits.join(labels.withColumnRenamed("vec_id", "item_id"), "item_id").join(own, "query_id")
     # all relevant items of a query: the others of its label, counted rather than listed
     sizes = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("g"))
-    gold = queries.select("query_id").join(own, "query_id").join(F.broadcast(sizes.withColumnRenamed("label", "own")), "own").select("query_id", "g")
+    gold = queries.select("query_id").join(own, "query_id").join(sizes.withColumnRenamed("label", "own"), "own").select("query_id", "g")
     return _metrics(marked.filter("label = own").select("query_id", "rank"), gold)
 
 

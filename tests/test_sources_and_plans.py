@@ -128,8 +128,9 @@ def test_kept_stages_are_of_their_corpus(spark, tmp_path):
     texts = lambda c: sorted(r.text for r in E.run(spark, c, E.Experiment(), stages)["chunks"].collect())
     first, second = texts(one), texts(two)
     assert first != second and texts(one) == first == sorted(r.text for r in E.run(spark, one, E.Experiment())["chunks"].collect())
-    kept = [p for p in (tmp_path / "stages").iterdir()][0] / "chunks"
-    for part in kept.glob("part-*"):  # a table that lost rows is made again
+    kept = [p for p in (tmp_path / "stages").iterdir()][0] / "chunks-data"
+    assert len(list(kept.iterdir())) == 1  # the second run of the same corpus found it
+    for part in kept.glob("*/part-*"):  # a table that lost rows is made again
         part.unlink()
     assert texts(one) == first and texts(two) == second
 
@@ -187,3 +188,37 @@ def test_answers_without_sentences_open_with_the_first_chunk(spark):
     queries = spark.createDataFrame([("q", "why"), ("r", "why")], "query_id string, query string")
     found = spark.createDataFrame([("q", 1, "first", []), ("q", 2, "second", [])], "query_id string, rank int, text string, sentences array<string>")
     assert {r.query_id: r.answer for r in A.extractive_answers(queries, found).collect()} == {"q": "first", "r": ""}
+
+
+def test_profiles_laid_over_each_other(spark, tmp_path):
+    base = put(tmp_path / "base.yaml", "chunking: {strategy: fixed, n_chunks: 3}\nembedding: {dimensions: 16}\nevaluation: {ks: [5, 1, 5]}\n")
+    over = put(tmp_path / "over.yaml", "chunking:\n  n_chunks: 8\nretrieval: {distance: l2}\n")
+    empty = put(tmp_path / "empty.yaml", "")
+    e = E.from_config(E.read_config(base, over, empty))
+    assert (e.chunking.options, e.dimensions, e.metric, e.ks) == ({"n_chunks": 8}, 16, "l2", (1, 5))
+
+
+def test_capped_corpus_and_valid_units(spark):
+    from tessera.operators import split
+
+    docs = spark.createDataFrame([(f"d{i}", "T", f"text {i}", "") for i in range(5)], S.DOCUMENT)
+    queries = spark.createDataFrame([(f"q{i}", "?") for i in range(4)], "query_id string, query string")
+    qrels = spark.createDataFrame([(f"q{i}", f"d{j}", 1) for i in range(4) for j in range(5)], "query_id string, doc_id string, relevance int")
+    small = S.capped(S.Corpus(docs, queries, qrels), 2, 3)
+    assert sorted(r.doc_id for r in small.documents.collect()) == ["d0", "d1"] and small.queries.count() == 3
+    assert small.qrels.count() == 6 and S.validate(small) == {}
+    assert S.capped(S.Corpus(docs, queries, qrels)).qrels.count() == 20
+    units = spark.createDataFrame([("d", 0, "t"), (" ", 1, "t"), ("d", None, "t"), ("d", 2, None)], "doc_id string, sentence_idx int, text string")
+    with pytest.raises(ValueError, match="doc_id is missing or blank: 1; sentence_idx is missing or negative: 1; text is missing: 1"):
+        split.valid_units(units)
+    assert split.valid_units(units.limit(1)).count() == 1
+
+
+def test_summary_tables(spark, tmp_path):
+    from tessera.operators import reporting
+
+    wide = spark.createDataFrame([("a", 0.5), ("b", 0.7), ("c", 0.1)], "stem string, f1 double")
+    reporting.write_summary(wide, wide.filter("f1 > 0.6"), str(tmp_path / "s"))
+    read = lambda name: spark.read.csv(str(tmp_path / "s" / name), header=True)
+    assert {(r.name, r.n_rows) for r in read("manifest").collect()} == {("all_runs", "3"), ("best_per_method", "1")}
+    assert read("best_per_method").first().stem == "b"
