@@ -73,8 +73,9 @@ def test_stages_keep_ids_and_columns_of_any_name(spark, odd, at):
         assert n == Counter({k: 1 for k in {(r.doc_id, r.text) for r in rows.collect()}})
     if at == 2:
         assert len(kept) == 9 and not any(d == big + 3 for d, _ in n)
-    if at == 3:
-        assert all(n[k] % 2 == 0 for k in n if k[0] == big + 11)
+    if at == 3:  # a row stands there three times at most, and rows alike in id and text are told apart
+        stood = Counter((r.doc_id, r.text) for r in rows.collect())
+        assert all(n[k] <= 3 * stood[k] for k in n)
     assert corpus_pipeline.STAGES[at][1](spark, rows.limit(0), sf).collect() == []
 
 
@@ -86,4 +87,4 @@ def test_last_stage_packs_every_id(spark, odd):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
