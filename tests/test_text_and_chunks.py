@@ -1,5 +1,6 @@
 import itertools
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -182,3 +183,12 @@ def test_intrinsic_closed_forms(spark):
 def test_perplexity(spark):
     rows = spark.createDataFrame([(["a", "b", "a", "b"],), ([],), (["x"],)], "w array<string>")
     assert [r.p for r in rows.select(T.perplexity(F.col("w")).alias("p")).collect()] == pytest.approx([2.0, 1.0, 1.0])
+
+
+def test_fused_product_and_sum(spark):
+    r = np.random.default_rng(6)
+    a, b = r.uniform(-3, 3, 3000) * 10.0 ** r.integers(-8, 8, 3000), r.uniform(-3, 3, 3000)
+    c = -a * b * (1 + r.choice([0, 1e-16, 1e-9, 0.5, 2], 3000))
+    rows = spark.createDataFrame([tuple(map(float, x)) for x in zip(a, b, c, strict=True)], "a double, b double, c double")
+    for x in rows.withColumn("f", V.fused(F.col("a"), F.col("b"), F.col("c"))).collect():
+        assert Fraction(x.f) == Fraction(float(Fraction(x.a) * Fraction(x.b) + Fraction(x.c)))
