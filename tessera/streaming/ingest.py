@@ -76,7 +76,7 @@ def _made(spark: SparkSession, target: str, n_chunks: int, index: bool, made: li
             raise _Enough
         before = read_state(spark, target, number)
         # the window is read from its source once: its sentences and their running numbers are written, then used
-        rows = S.with_running_start(S.with_sentences(docs.select("doc_id", "text")), F.size("sentences"), out="_unit")
+        rows = S.with_running_start(S.with_sentences(docs).select("doc_id", "sentences"), F.size("sentences"), out="_unit")
         units = C.explode_rows(rows.select("doc_id", "sentences", "_unit"), "sentences", "sentence_idx", "text")
         units.select((F.col("_unit") + F.col("sentence_idx") + before["next_unit"]).alias("unit_id"), "doc_id", "sentence_idx", "text").write.mode("overwrite").parquet(f"{target}/units/window={number}")
         C.explode_chunks(rows, C.fixed_chunks(F.col("sentences"), n_chunks)).write.mode("overwrite").parquet(f"{target}/chunks/window={number}")
