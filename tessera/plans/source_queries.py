@@ -128,7 +128,7 @@ def _json_corpus(spark, d) -> tuple[str, int]:
     """The documents as JSON lines in order of id, ids as texts, and a third of their number."""
     path = scratch(spark, "corpus")
     docs = _t(spark, d, "documents")
-    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("_id"), "text").write.json(path)
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("_id"), "text").write.json(path)
     return path, max(1, -(-docs.count() // 3))
 
 
