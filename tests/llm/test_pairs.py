@@ -228,6 +228,29 @@ def test_near_repeats_are_found(spark):
     assert share >= 0.9, share
 
 
+@pytest.mark.parametrize("size,fragment,step", [(60, 44, 4), (100, 45, 5)])
+def test_near_repeats_among_texts_that_share_parts_of_them(spark, size, fragment, step):
+    """Two near copies of a passage and, three times each, texts that hold too little of it, which come first in most groups."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], []
+    for _ in range(40):
+        p = make(size)
+        q = list(p)
+        for at in [size // 2] if size < 100 else [size // 3, 2 * size // 3]:
+            q[at] = make(1)[0]
+        want.append((len(texts), len(texts) + 1))
+        texts += [" ".join(make(30) + own + make(30)) for own in (p, q)]
+        for a in [a for a in range(0, size - fragment + 1, step) for _ in range(3)]:
+            texts.append(" ".join(make(30) + rng.choice((p, q))[a : a + fragment] + make(30)))
+    ids = defaultdict(set)
+    for r in P.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect():
+        if r.start_word <= 38 and r.end_word >= 22 + size:
+            ids[r.doc_id].add(r.passage_id)
+    found = sum(bool(ids[x] & ids[y]) for x, y in want)
+    assert found >= 0.95 * len(want), found
+
+
 def test_passages_of_null_repeated_and_large_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, text), (None, text), (2**62 + 1, text), (2**62 + 3, text + " end"), (5, None), (None, None), (5, ""), (6, "short")]
