@@ -141,6 +141,17 @@ def test_scores_by_ones_own_scorer(spark, tmp_path):
     assert G.boundary_clarity(docs.limit(0), make, "m").collect() == []
 
 
+def test_lexical_scorer_reads_each_text_once(monkeypatch):
+    read = []
+    token = G._TOKEN
+    monkeypatch.setattr(G, "_TOKEN", type("Counting", (), {"findall": staticmethod(lambda t: read.append(t) or token.findall(t))}))
+    texts = ["one two", "two three", "four"]
+    pairs = [(t, g) for t in texts for g in (None, *texts)]
+    got = G.lexical()([t for t, _ in pairs], [g for _, g in pairs])
+    assert got[:4] == pytest.approx([2.0, 1.0, 1.5, 2.0])
+    assert sorted(x for x in read if x) == sorted(texts)
+
+
 def test_evaluation_goes_on_after_a_failing_task(spark, tmp_path):
     text = [("d1", "T", "Red fox. It runs.", ""), ("d2", "", "Blue sky. Clouds drift.", "")]
     corpus = K.Corpus(spark.createDataFrame(text, K.DOCUMENT), spark.createDataFrame([("q1", "red fox runs")], "query_id string, query string"), spark.createDataFrame([("q1", "d1", 1)], "query_id string, doc_id string, relevance int"))
