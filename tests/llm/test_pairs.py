@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ngramjoin as J
 from tessera.llm import substrings as P
@@ -348,3 +349,23 @@ def test_words_put_into_a_passage_do_not_part_it(added):
     a, b = np.concatenate([rng.integers(0, 2**24, 40), base]), np.concatenate([rng.integers(0, 2**24, 9), other])
     for d in (31, 31 - added):  # agreement in the first half only, or in the second
         assert P.alike(a, b, d, d, 46, 0.8) == [(40, 132, 9, 9 + len(other))]
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 2}x{j}" for j in range(60))) for i in range(6)], "doc long, text string")
+    work = P._Passages(docs, 50)
+    assert work.run().count() == 6
+    asked = spark.range(9).select(F.col("id").alias("node")).distinct()
+    plan = work.nodes.select("node", "seq").join(asked.hint("merge"), "node", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of those asked for, not of the texts
+
+
+def test_stretches_of_texts_with_repeated_shingles():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**32, 80, dtype=np.uint32)
+    base[20:30] = base[:10]  # a set smaller than the stretch
+    a, b = np.concatenate([rng.integers(0, 2**32, 7, dtype=np.uint32), base]), np.concatenate([base, rng.integers(0, 2**32, 9, dtype=np.uint32)])
+    assert P.alike(a, b, 7, 7, 46, 0.8) == [(7, 87, 0, 80)]
+    other = b.copy()
+    other[30:40] += np.uint32(1)
+    assert P.alike(a, other, 7, 7, 46, 0.8) == []
