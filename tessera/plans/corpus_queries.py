@@ -134,8 +134,12 @@ def _(spark, d):
     return corpora.msmarco_documents(spark, path)
 
 
+def _corpus_documents(docs):
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), "text", F.lit("").alias("url"))
+
+
 def _corpus(spark, d) -> corpora.Corpus:
-    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), "text", F.lit("").alias("url"))
+    docs = _corpus_documents(_t(spark, d, "documents"))
     queries = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
     labels = _t(spark, d, "labels")
     qrels = labels.select((F.col("doc_id") % 50).cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("int").alias("relevance"))
@@ -218,8 +222,7 @@ def _(spark, d):
 def _(spark, d):
     """One folder of kept stages for two corpora: each gets its own, and a second run those of the first."""
     whole, stages = _corpus(spark, d), scratch(spark, "stages")
-    english = _t(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("doc_id"))
-    part = corpora.Corpus(whole.documents.join(english, "doc_id", "left_semi"), whole.queries, whole.qrels)
+    part = corpora.Corpus(_corpus_documents(_t(spark, d, "documents").filter("lang = 'en'")), whole.queries, whole.qrels)
     out = None
     for name, corpus in (("all", whole), ("en", part), ("all again", whole)):
         one = E.run(spark, corpus, E.Experiment(), stages)["chunks"].agg(F.lit(name).alias("corpus"), F.count(F.lit(1)).alias("num_chunks"))

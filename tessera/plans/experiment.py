@@ -111,7 +111,9 @@ def chunk_documents(docs: DataFrame, experiment: Experiment) -> DataFrame:
     """(doc_id, position, chunk_id, text)."""
     routed = plugs.get("router", experiment.router)(S.drop_blank(docs))
     split = plugs.get("splitter", experiment.splitter)
-    rows = routed.withColumn("sentences", split(F.col("text"))).filter("size(sentences) > 0").withColumn("vectors", F.transform("sentences", experiment.embed))
+    # an outer generator of one row: else the filter is pushed below the split, which then runs twice
+    cut = routed.select("*", F.explode_outer(F.array(split(F.col("text")))).alias("sentences"))
+    rows = cut.filter("size(sentences) > 0").withColumn("vectors", F.transform("sentences", experiment.embed))
     return plugs.get("chunker", experiment.chunking.strategy, **experiment.chunking.options)(rows)
 
 

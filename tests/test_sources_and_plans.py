@@ -222,3 +222,11 @@ def test_summary_tables(spark, tmp_path):
     read = lambda name: spark.read.csv(str(tmp_path / "s" / name), header=True)
     assert {(r.name, r.n_rows) for r in read("manifest").collect()} == {("all_runs", "3"), ("best_per_method", "1")}
     assert read("best_per_method").first().stem == "b"
+
+
+def test_documents_are_split_once(spark):
+    docs = spark.createDataFrame([("a", "One. Two."), ("b", " "), ("c", None)], "doc_id string, text string")
+    chunks = E.chunk_documents(docs, E.Experiment())
+    assert [(r.doc_id, r.text) for r in chunks.orderBy("position").collect()] == [("a", "One."), ("a", "Two.")]
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # not in a filter beside it
