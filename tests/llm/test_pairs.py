@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -369,3 +370,37 @@ def test_stretches_of_texts_with_repeated_shingles():
     other = b.copy()
     other[30:40] += np.uint32(1)
     assert P.alike(a, other, 7, 7, 46, 0.8) == []
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left():
+        found = disk.getAllFiles().mkString(",").split(",")
+        return {f for f in found if "/shuffle_" in f}
+
+    before = left()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    written = Scratch(spark, "dropped").table(rows, "plain")
+    for _ in range(50):  # files go in the background
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert written.count() == 7
+
+
+
+def test_many_pairs_are_compared_as_each_alone():
+    rng = np.random.default_rng(5)
+    pairs = []
+    for i in range(60):
+        a = rng.integers(0, 40 if i % 3 else 1 << 31, int(rng.integers(0, 300))).astype(np.uint32)
+        b = a.copy() if i % 2 else rng.permutation(a)
+        b[: len(b) // 5] = 7
+        pairs.append((a, np.append(b, a[: i % 90])))
+    a, b = map(list, zip(*pairs, strict=True))
+    found = dict(P._alike(a, b, [-9] * 60, [9] * 60, 46, 0.8))
+    assert len(found) > 20
+    assert [found.get(i, []) for i in range(60)] == [P.alike(*pairs[i], -9, 9, 46, 0.8) for i in range(60)]
