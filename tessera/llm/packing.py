@@ -25,6 +25,11 @@ BINARY = (
     "shard string, first_row int, n_rows int, row_size int, id_type string, input_ids binary, position_ids binary, cu_seqlens binary, segments array<int>, doc_ids array<long>, pieces array<int>"
 )
 
+#: Rows of a matrix that are one block, and bytes of blocks that are one row group: a task writes and reads a group at a time.
+BLOCK_ROWS, GROUP_BYTES = 256, 16 << 20
+#: Ids in a row of the matrix.
+SIZE = 2048
+
 _LOADED: dict = {}
 
 
@@ -89,6 +94,10 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> list[list[int]]:
     return rows
 
 
+def _positions(size: int) -> str:
+    return "<u4" if size > 1 << 16 else "<u2"
+
+
 class Block:
     """Some rows of a shard's matrix: ids and positions (rows x size), each row's segment bounds, and what the segments are."""
 
@@ -125,7 +134,7 @@ class Block:
             "row_size": pa.array([size], pa.int32()),
             "id_type": pa.array([id_type]),
             "input_ids": pa.array([self.ids.astype(id_type).tobytes()]),
-            "position_ids": pa.array([self.positions.astype("<u4" if size > 1 << 16 else "<u2").tobytes()]),
+            "position_ids": pa.array([self.positions.astype(_positions(size)).tobytes()]),
             "cu_seqlens": pa.array([self.bounds.astype("<u4").tobytes()]),
             "segments": lists(self.counts, pa.int32()),
             "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(self.docs)], pa.int32()), self.docs),
@@ -140,12 +149,12 @@ def _from_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = {n: batch.column(n)[i] for n in batch.schema.names}
             n, size = r["n_rows"].as_py(), r["row_size"].as_py()
             matrix = lambda name, kind, n=n, size=size, r=r: np.frombuffer(r[name].as_buffer(), kind).reshape(n, size)
-            ids, positions = matrix("input_ids", r["id_type"].as_py()), matrix("position_ids", "<u4" if size > 1 << 16 else "<u2")
+            ids, positions = matrix("input_ids", r["id_type"].as_py()), matrix("position_ids", _positions(size))
             counts, pieces = (r[c].values.to_numpy(zero_copy_only=False) for c in ("segments", "pieces"))
             yield Block(r["shard"].as_py(), r["first_row"].as_py(), ids, positions, counts, np.frombuffer(r["cu_seqlens"].as_buffer(), "<u4").astype(np.int32), r["doc_ids"].values, pieces).rows()
 
 
-def pack_shard(shard: str, pieces: list[tuple[int | None, int, np.ndarray]], size: int, pad: int, rows: int = 256) -> Iterator[Block]:
+def pack_shard(shard: str, pieces: list[tuple[int | None, int, np.ndarray]], size: int, pad: int, rows: int = BLOCK_ROWS) -> Iterator[Block]:
     """The shard's matrix, ``rows`` of it at a time. pieces: document, number of the piece in it, ids."""
     packed = best_fit_decreasing(np.array([len(p[2]) for p in pieces]), size)
     for first in range(0, len(packed), rows):
@@ -194,7 +203,7 @@ def pack(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    size: int = 2048,
+    size: int = SIZE,
     pad: int = 50256,
     shard_tokens: int = 4_000_000,
     id_type: str | None = None,
@@ -218,8 +227,13 @@ def write_matrices(docs: DataFrame, path: str, ranks_path: str, pattern: str, *,
     A block holds the ids (``id_type``: <u2 for vocabularies of up to 65,536), the position of every id in its
     segment, each matrix row's cumulative segment lengths from 0 on, and which document and piece each segment is.
     Spark's commit makes the files appear whole or not at all. An empty table gives a table without blocks.
+    Row groups hold ``GROUP_BYTES`` of matrices, or one block, so that tasks take no more memory where they write or read more.
     """
-    pack(docs, ranks_path, pattern, id_type=id_type, **options).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    size = options.get("size", SIZE)
+    block = BLOCK_ROWS * size * (np.dtype(id_type).itemsize + np.dtype(_positions(size)).itemsize)
+    # the writer looks at the sizes after each block: by default after 100, which are hundreds of MB
+    bounds = {"parquet.block.row.count.limit": max(1, GROUP_BYTES // block), "parquet.page.row.count.limit": 1, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
+    pack(docs, ranks_path, pattern, id_type=id_type, **options).write.mode("overwrite").options(**bounds).option("compression", "zstd").parquet(path)
 
 
 def read_matrices(spark, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import pairwise
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,15 @@ def test_matrices_are_written_and_read_back(spark, tmp_path, id_type):
     assert packing.read_matrices(spark, out).collect() == []
 
 
+def test_row_groups_of_matrices_are_bounded(spark, tmp_path):
+    """A task reads and writes a row group as a whole: ten blocks of 2 MB are more than one."""
+    docs = spark.range(12, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 400000) AS text")
+    packing.write_matrices(docs, str(tmp_path / "m"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, id_type="<u2")
+    groups = [m.row_group(i) for f in (tmp_path / "m").glob("*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 10 and max(g.total_byte_size for g in groups) < 18_000_000
+    assert sum(r.n_tokens for r in packing.read_matrices(spark, str(tmp_path / "m")).collect()) >= 4_800_000
+
+
 def test_an_id_too_large_for_its_type_is_an_error():
     with pytest.raises(ValueError):
         next(packing.pack_shard("s", [(1, 0, np.array([70_000]))], 4, 0)).binary("<u2")
