@@ -12,6 +12,7 @@ from tessera.operators import reporting as R
 from tessera.operators import retrieval as N
 from tessera.operators import scoring as G
 from tessera.plans import experiment as E
+from tessera.plans import queries as Q
 from tessera.sources import corpora as K
 from tessera.operators import split as S
 
@@ -45,6 +46,20 @@ def test_roll_up_takes_best_score_and_first_rank(spark):
     assert [(r.doc_id, r.score, r.first_rank, r.rank) for r in got] == [("a", 0.9, 1, 1), ("b", 0.8, 2, 2)]
 
 
+def test_metrics_at_k_judge_all_vectors(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v, label = rng.normal(size=(130, 6)), rng.integers(0, 4, 130)
+    spark.createDataFrame([(i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    v = v.astype(np.float32).astype(float)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    score = np.round(u @ u.T, 9)
+    order = [[j for j in sorted(range(130), key=lambda j: (-score[i, j], j)) if j != i] for i in range(130)]
+    for r in Q.metrics_at_k(spark, str(tmp_path)).collect():
+        found = [(label[order[i][: r.k]] == label[i]).sum() for i in range(130)]
+        assert r.num_queries == 130
+        assert (r.precision, r.recall) == pytest.approx((np.mean(found) / r.k, np.mean([n / ((label == label[i]).sum() - 1) for i, n in enumerate(found)])), abs=1e-6)
+
+
 def test_metrics_conventions(spark):
     ranked = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "query_id int, rank int, doc_id string")
     gold = spark.createDataFrame([(1, "y"), (1, "w"), (2, None)], "query_id int, doc_id string")
