@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import crowds
 from tessera.llm import ngramjoin as J
 from tessera.llm import substrings as P
 from tessera.llm.common import Scratch
@@ -253,6 +254,69 @@ def test_near_repeats_among_texts_that_share_parts_of_them(spark, size, fragment
     assert found >= 0.95 * len(want), found
 
 
+def test_near_repeats_in_large_groups(spark):
+    """As above, with 96 texts around each pair: more than are compared pair by pair by their halves alone (36 of 40 found)."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], []
+    for _ in range(40):
+        p = make(100)
+        q = list(p)
+        for at in (33, 66):
+            q[at] = make(1)[0]
+        want.append((len(texts), len(texts) + 1))
+        texts += [" ".join(make(30) + own + make(30)) for own in (p, q)]
+        for a in [a for a in range(0, 57, 5) for _ in range(8)]:
+            texts.append(" ".join(make(30) + rng.choice((p, q))[a : a + 44] + make(30)))
+    ids = defaultdict(set)
+    for r in P.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect():
+        if r.start_word <= 38 and r.end_word >= 122:
+            ids[r.doc_id].add(r.passage_id)
+    found = sum(bool(ids[x] & ids[y]) for x, y in want)
+    assert found == len(want), found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_crowds_join_what_all_pairs_join(seed, monkeypatch):
+    """The same passages and the same covered places as by all pairs, for families of near copies around a common line."""
+    if seed % 2:
+        monkeypatch.setattr(crowds, "FOLLOWED", 500)
+        monkeypatch.setattr(crowds, "COUNTED", 64)
+    rng = np.random.default_rng(seed)
+    n, width = 150, 46
+    new = lambda *size: rng.integers(1, 2**32, size, dtype=np.uint64).astype(np.uint32)
+    ctx = new(n, 2 * width - 1)
+    for _ in range(8):
+        family = rng.choice(n, rng.integers(2, 40), replace=False)
+        a, b = np.sort(rng.integers(0, 91, 2))
+        ctx[family, a:b] = new(b - a)
+    line = new(30 + seed)
+    ctx[:, 20 : 50 + seed] = line
+    for i in range(n):
+        at = rng.integers(0, 86)
+        ctx[i, at : at + rng.integers(0, 6)] = new(1)[0]
+    ctx[:, 45] = 7
+    ctx[3, :9] = ctx[5, 80:] = 0
+
+    def joined(pairs):
+        name, cover = np.arange(n), {}
+        rows = lambda side: [ctx[p[side]][ctx[p[side]] != 0] for p in pairs]
+        begin = (ctx != 0).argmax(1)
+        shift = [int(begin[b] - begin[a]) for a, b in pairs]
+        for k, found in P._alike(rows(0), rows(1), shift, shift, width, 0.8):
+            for i, lo, hi in ((pairs[k][0], 0, 1), (pairs[k][1], 2, 3)):
+                for f in found:
+                    old = cover.get(i, (99, 0))
+                    cover[i] = (min(old[0], f[lo] + begin[i]), max(old[1], f[hi] + begin[i]))
+            name[name == name[pairs[k][1]]] = name[pairs[k][0]]
+        return {tuple(np.flatnonzero(name == x)) for x in set(name.tolist())}, cover
+
+    made = crowds.Crowd(ctx, np.ones(n, bool), np.zeros((n, 2), np.int64), np.arange(n), None, width, 0.8).linked(P._alike)
+    everything = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    assert joined(made) == joined(everything)
+    assert 3 < len(made) < len(everything) / 4
+
+
 def test_passages_of_null_repeated_and_large_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, text), (None, text), (2**62 + 1, text), (2**62 + 3, text + " end"), (5, None), (None, None), (5, ""), (6, "short")]
